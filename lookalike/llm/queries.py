@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import ann, html_text, mixing, quality
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_quality)}
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_html_text, op4_mixing, op5_quality, op7_nearest)}
 
 ORACLE_SQL: dict[str, str] = {}
