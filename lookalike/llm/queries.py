@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, mixing, quality, repeats
+from . import ann, html_text, mixing, ngram_join, quality, repeats
 from .common import table
 
 
@@ -24,10 +24,14 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_html_text, op4_mixing, op5_quality, op7_nearest, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op3_html_text, op4_mixing, op5_quality, op7_nearest, op9_ngram_join, op10_repeats)}
 
 ORACLE_SQL: dict[str, str] = {}
