@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_text, mixing, ngram_join, quality, repeats
+from . import ann, html_text, mixing, ngram_join, quality, repeats, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -32,6 +36,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removals(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_html_text, op4_mixing, op5_quality, op7_nearest, op9_ngram_join, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_html_text, op4_mixing, op5_quality, op7_nearest, op9_ngram_join, op10_repeats)}
 
 ORACLE_SQL: dict[str, str] = {}
