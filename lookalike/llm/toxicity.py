@@ -7,7 +7,9 @@ inverted index whose postings are cut into blocks of examples, each with its lar
 word. A search sums those maxima to bound each block, opens blocks from the highest bound on, and stops
 when no unopened block can hold a nearer example, so the k similarities found are exactly the largest.
 Neighbours vote with their similarity, drawn towards the share of toxic rows among examples that have
-no vocabulary word; that share is also the score of a text without such words.
+no vocabulary word; that share is also the score of a text without such words. A logistic curve over the
+vote and the number of vocabulary words in the text, fitted to the examples' votes on each other, makes
+the vote a calibrated score.
 
 Bounds: at most MAX_EXAMPLES examples, those with the smallest hashes of doc_id, and MAX_WORDS words, so
 the model is small whatever the input. All documents are scored, each alone; nothing but the counts of
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import textscan
 
-MAX_EXAMPLES = 8_000
+MAX_EXAMPLES = 12_000
 MAX_WORDS = 2_048
 #: Least likelihood-ratio statistic of a vocabulary word, and least number of examples that have it.
-LEAST_G2, LEAST_DF = 24.0, 4
+LEAST_G2, LEAST_DF = 15.0, 4
 K = 16
 BLOCK = 64
 #: Weight of the prior in a vote, in units of similarity.
@@ -64,14 +66,16 @@ class Index:
     labels: np.ndarray
     ids: np.ndarray
     vectors: list = field(repr=False)
+    counts: np.ndarray = field(repr=False)
     prior: float = 0.0
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0]))
 
     def __post_init__(self):
         # examples with the same strongest word stand together, so that block maxima differ
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in self.vectors]
         order = np.lexsort((self.ids, lead))
         self.labels, self.ids, self.vectors = self.labels[order], self.ids[order], [self.vectors[i] for i in order]
-        n, n_blocks = len(order), max(1, -(-len(order) // BLOCK))
+        n_blocks = max(1, -(-len(order) // BLOCK))
         self.most = np.zeros((len(self.words), n_blocks), np.float64)
         lists: list[list] = [[] for _ in self.words]
         for i, (terms, weights) in enumerate(self.vectors):
@@ -80,7 +84,8 @@ class Index:
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
         self.postings = [(np.array([p[0] for p in x], np.int64), np.array([p[1] for p in x], np.float64)) for x in lists]
         self.cuts = [np.searchsorted(p, np.arange(n_blocks + 1) * BLOCK) for p, _ in self.postings]
-        self.n = n
+        self.counts = self.counts[order]
+        self._calibrate()
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with a similarity above 0, and their similarities."""
@@ -101,11 +106,39 @@ class Index:
             best_i, best_s = best_i[order], best_s[order]
         return best_i, best_s
 
-    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
+        """Similarity-weighted vote, and the neighbours; ``without`` is an example that has no say."""
+        at, near = self.search(terms, weights, K + (without >= 0))
+        if without >= 0:
+            at, near = at[at != without][:K], near[at != without][:K]
+        return float((near @ self.labels[at] + PRIOR_WEIGHT * self.prior) / (near.sum() + PRIOR_WEIGHT)), at
+
+    @staticmethod
+    def _features(vote, count) -> np.ndarray:
+        vote = np.clip(vote, 1e-3, 1 - 1e-3)
+        return np.stack([np.ones_like(vote), np.log(vote / (1 - vote)), np.log(count)], axis=-1)
+
+    def _calibrate(self) -> None:
+        """Logistic regression with a small ridge, by Newton steps, over votes of all other examples."""
+        if len(np.unique(self.labels)) < 2:
+            return
+        votes = np.array([self.vote(t, w, i)[0] for i, (t, w) in enumerate(self.vectors)])
+        x, beta = self._features(votes, self.counts.astype(float)), np.array([0.0, 1.0, 0.0])
+        ridge, centre = np.diag([0.1, 1.0, 1.0]), beta.copy()
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (self.labels - p) - ridge @ (beta - centre))
+            beta = beta + step
+            if np.abs(step).max() < 1e-9:
+                break
+        self.curve = beta
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
+        """Score of a text by its vocabulary words and their counts, and its neighbours' ids."""
         if not len(terms):
             return self.prior, np.zeros(0, np.int64)
-        at, near = self.search(terms, weights)
-        return float((near @ self.labels[at] + PRIOR_WEIGHT * self.prior) / (near.sum() + PRIOR_WEIGHT)), self.ids[at]
+        vote, at = self.vote(terms, weigh(terms, counts, self.idf))
+        return float(1 / (1 + np.exp(-np.clip(self._features(vote, float(counts.sum())) @ self.curve, -30, 30)))), self.ids[at]
 
 
 def _found(part: textscan.Slice, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +189,7 @@ def _scorer(index: Index):
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 scores, near = [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    s, ids = index.score(term[a:b], weigh(term[a:b], count[a:b], index.idf)) if b > a else (index.prior, ())
+                    s, ids = index.score(term[a:b], count[a:b])
                     scores.append(s)
                     near.append(ids)
                 rows = batch.slice(part.lo, n)
@@ -182,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
         n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
         if not n_toxic or not n_clean:
-            return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), [], float(n_toxic > 0))
+            return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), [], np.zeros(0), float(n_toxic > 0))
         by_word = found.groupBy("word").agg(F.sum("toxic").alias("k1"), F.count("*").alias("df")).where(F.col("df") >= LEAST_DF)
         k1, k2 = F.col("k1").cast("double"), (F.col("df") - F.col("k1")).cast("double")
         n1, n2 = F.lit(float(n_toxic)), F.lit(float(n_clean))
@@ -205,13 +238,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     by_doc: dict[int, list] = {}
     for r in sorted(hits, key=lambda r: (r["doc_id"], terms[r["word"]])):
         by_doc.setdefault(r["doc_id"], [r["toxic"], []])[1].append((terms[r["word"]], r["n"]))
-    vectors = []
+    vectors, counts = [], []
     for _, pairs in by_doc.values():
         t, c = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
         vectors.append((t, weigh(t, c, idf)))
+        counts.append(c.sum())
     with_words = np.array([v[0] for v in by_doc.values()], np.float64)
     plain_toxic, plain = n_toxic - with_words.sum(), n_toxic + n_clean - len(with_words)
-    return Index(words, idf, with_words, np.array(list(by_doc), np.int64), vectors, float(plain_toxic / plain) if plain else n_toxic / (n_toxic + n_clean))
+    return Index(words, idf, with_words, np.array(list(by_doc), np.int64), vectors, np.array(counts), float(plain_toxic / plain) if plain else n_toxic / (n_toxic + n_clean))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
