@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..plans.stage_table import cut
 
-__all__ = ["SPACE", "WORD", "cut", "n_words", "table", "words"]
+__all__ = ["SPACE", "WORD", "cut", "fresh", "n_words", "table", "words"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+
 def words(text: str | Column) -> Column:
     """Array of the text's words; null and empty texts have none."""
     col = F.col(text) if isinstance(text, str) else text
@@ -27,3 +28,11 @@ def n_words(text: str | Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

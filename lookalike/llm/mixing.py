@@ -102,14 +102,16 @@ def mix(docs: DataFrame, max_ramp: float = 0.5) -> DataFrame:
     some sources come early and others late, while every target is met at the end."""
     columns = docs.columns
     pct = F.pmod(F.xxhash64("source"), F.lit(201)).cast("double") / 100.0 - 1.0
-    own = _tape(docs.select(*columns))
+    # other columns ride along in a struct, so none can clash with a name used here
+    own = _tape(docs.select("doc_id", "text", "source", F.struct(*[c for c in columns if c != "text"]).alias("_row")))
     copies = own.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)))).withColumn("_take", _taken(F.col("_epoch"))).where("_take > 0")
     share = (F.col("_offset") + F.col("_epoch") * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))
     copies = copies.withColumn("_at", position(F.least(share, F.lit(1.0)), pct * max_ramp))
     whole = F.col("_take") == F.col("_size")
     head = F.concat_ws(" ", F.slice(words("text"), F.lit(1), F.col("_take").cast("int")))
-    text = F.when(whole, F.col("text")).otherwise(head)
-    replaced = {"text": text}
+    copies = copies.withColumn("_text", F.when(whole, F.col("text")).otherwise(head))
+    copies = copies.repartitionByRange("_at", "_h", "_epoch").sortWithinPartitions("_at", "_h", "_epoch")
+    value = {c: F.col("_row")[c] for c in columns if c != "text"} | {"text": F.col("_text")}
     if "n_chars" in columns:
-        replaced["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(head).cast("long"))
-    return copies.withColumns(replaced).repartitionByRange("_at", "_h", "_epoch").sortWithinPartitions("_at", "_h", "_epoch").select(*columns)
+        value["n_chars"] = F.when(whole, F.col("_row")["n_chars"]).otherwise(F.length("_text").cast("long"))
+    return copies.select(*[value[c].alias(c) for c in columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import cut
+from .common import cut, fresh
 
 WINDOW = 50
 SEED = 8
@@ -177,8 +177,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     profile, first, cuts = _matches(docs)
     state = profile.where((F.col("n_words") < WINDOW) | F.col("doc_id").isNull()).select("rid").unionByName(profile.join(first, ["s1", "s2", "doc_id"], "left_semi").select("rid")).distinct()
     state = state.join(cuts, "rid", "left").select("rid", "kept")
-    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(state.withColumnsRenamed({"rid": "_rid", "kept": "_kept"}), "_rid").where("_kept is null or _kept <> ''")
-    changed = {"text": F.coalesce("_kept", "text")}
+    rid, kept = fresh(docs, "rid"), fresh(docs, "kept")
+    rows = docs.withColumn(rid, F.xxhash64("doc_id", "text")).join(state.withColumnsRenamed({"rid": rid, "kept": kept}), rid).where(F.col(kept).isNull() | (F.col(kept) != ""))
+    changed = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars"))
     return rows.withColumns(changed).select(*docs.columns)
