@@ -10,9 +10,12 @@ segment of every set. Documents with equal sets are one class from the start.
 2. The classes left are ordered by how many classes hold an n-gram, rarest first, unshared ones ahead of
    all. Linked classes share an n-gram in their first n - ceil(0.8 n) + 1; these make an inverted index.
 3. In each list of the index all classes are first compared with one leader, that whose n-grams are held
-   most widely, as the text that others were copied from is. Then every class outside the list's largest
-   component is compared with all classes of other components in the list. Pairs inside one component
-   need no comparison, as only components are asked for; no other pair is left out.
+   most widely, as the text that others were copied from is. Pairs inside one component then need no
+   comparison, as only components are asked for; of the others, every class outside the list's largest
+   component is compared with the classes of other components. In a long list not all of those pairs are
+   made: of two linked classes that share nothing outside the leader, neither has a smaller overlap with
+   the leader than the link takes, and any others share an n-gram that the leader lacks. Sizes and
+   overlaps find the first kind, an index of n-grams outside the leader the second. No link is lost.
 4. A pair's overlap is counted in each fragment of the order separately, and summed per pair.
 
 Hashes have 64 bits. Defined results: null or empty texts have the empty set, link with nothing, and are
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import textscan
-from .common import cut
+from .common import cut, fresh
 
 WIDTH = 5
 #: Share of the union, in percent, from which two sets link.
@@ -41,6 +44,8 @@ PERCENT = 80
 FRAGMENT = 3_000_000
 #: Fragments in which the overlap of a pair is counted.
 PAIR_FRAGMENTS = 4
+#: In lists of up to so many classes, all pairs of different components are compared.
+SHORT_LIST = 64
 
 
 def shingle_sets(part: textscan.Slice, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +81,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in textscan.slices(batch.column("text"), lower=True):
             n = part.hi - part.lo
             size, one, two = _signatures(*shingle_sets(part), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(part.lo, n), pa.array(size.astype(np.int64)), _signed(one), _signed(two)], ["doc_id", "n", "c", "c2"])
+            rows = batch.slice(part.lo, n)
+            yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), pa.array(size.astype(np.int64)), _signed(one), _signed(two)], ["rid", "doc_id", "n", "c", "c2"])
 
 
 def _segments(n_fragments: int):
@@ -155,16 +161,50 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("both"), pa.array(counts, pa.int64())], ["a", "b", "both", "part"])
 
 
-def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b, both: sum of their sizes) whose overlap, summed over fragments, makes a link."""
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlap of a with b in a fragment, and the n-grams of b there that a lacks."""
+    for batch in batches:
+        parts, beyond = [], []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            more = np.setdiff1d(np.frombuffer(y, np.uint64), np.frombuffer(x, np.uint64), assume_unique=True)
+            parts.append(len(y) // 8 - len(more))
+            beyond.append(more.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(parts, pa.int64()), pa.array(beyond, pa.list_(pa.int64()))], ["a", "b", "part", "beyond"])
+
+
+def _by_fragment(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with their segments x and y in each fragment."""
     left = segments.select(F.col("c").alias("a"), "f", F.col("s").alias("x"))
     right = segments.select(F.col("c").alias("b"), "f", F.col("s").alias("y"))
     parts = pairs.withColumn("f", F.explode(F.array(*[F.lit(i) for i in range(PAIR_FRAGMENTS)])))
-    parts = parts.join(right, ["b", "f"]).join(left, ["a", "f"]).select("a", "b", "both", "x", "y").mapInArrow(_overlap, "a long, b long, both long, part long")
+    return parts.join(right, ["b", "f"]).join(left, ["a", "f"])
+
+
+def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The pairs (a, b, both: sum of their sizes) whose overlap, summed over fragments, makes a link."""
+    parts = _by_fragment(pairs, segments).select("a", "b", "both", "x", "y").mapInArrow(_overlap, "a long, b long, both long, part long")
     both = parts.groupBy("a", "b", "both").agg(F.sum("part").alias("overlap"))
     return both.where((100 + PERCENT) * F.col("overlap") >= PERCENT * F.col("both")).select("a", "b")
 
 
+def _long_list_pairs(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Pairs that may link among ``rows`` (h, c, n, k, component, top, lead) of long lists."""
+    stars = rows.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
+    parts = cut(_by_fragment(stars, segments).select("a", "b", "x", "y").mapInArrow(_beyond, "a long, b long, part long, beyond array<long>"))
+    overlap = parts.groupBy(F.col("a").alias("lead"), F.col("b").alias("c")).agg(F.sum("part").alias("o"))
+    rows = cut(rows.join(overlap, ["lead", "c"], "left").withColumn("o", F.coalesce("o", "k")))
+    second = lambda names: [F.col(x).alias(f"{x}2") for x in names]
+    apart = (F.col("component") != F.col("component2")) & _possible(F.col("n"), F.col("k"), F.col("n2"), F.col("k2"))
+    within = (100 + PERCENT) * F.least("o", "o2") >= PERCENT * (F.col("n") + F.col("n2"))
+    inside = rows.where("component <> top").join(rows.select("h", *second(["c", "n", "k", "component", "o"])), "h").where(apart & within)
+    extra = parts.select(F.col("a").alias("lead"), F.col("b").alias("c"), F.explode("beyond").alias("g"))
+    facts = rows.groupBy("lead", "c").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("component").alias("component"), F.max((F.col("component") != F.col("top")).cast("int")).alias("minor"))
+    extra = cut(extra.join(facts, ["lead", "c"]))
+    outside = extra.where("minor = 1").join(extra.select("lead", "g", *second(["c", "n", "k", "component"])), ["lead", "g"]).where(apart)
+    pair = lambda x: x.select(F.col("c").alias("a"), F.col("c2").alias("b"), (F.col("n") + F.col("n2")).alias("both"))
+    return pair(inside).union(pair(outside).distinct())
+
+
 def _possible(n1, k1, n2, k2):
     """Whether sizes n and counts k of n-grams that other classes hold allow a link."""
     most = F.least(k1, k2)
@@ -194,31 +234,43 @@ def class_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     label = components(found).withColumnsRenamed({"node": "c"})
     member = lists.drop("rank").join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
     counted = member.groupBy("h", "component").agg(F.count("*").alias("m"))
-    largest = counted.groupBy("h").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("several")).where("several > 1").select("h", F.col("top.component").alias("top"))
+    largest = counted.groupBy("h").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("several"), F.sum("m").alias("size")).where("several > 1")
+    largest = largest.join(leaders, "h").select("h", "size", F.col("top.component").alias("top"), F.col("lead.c").alias("lead"))
     open_ = cut(member.join(largest, "h"))
-    other = open_.select("h", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("component").alias("component2"))
-    rest = open_.where("component <> top").join(other, "h").where((F.col("component") != F.col("component2")) & _possible(F.col("n"), F.col("k"), F.col("n2"), F.col("k2")))
-    rest = _pairs(rest.select(F.col("c").alias("a"), F.col("c2").alias("b"), (F.col("n") + F.col("n2")).alias("both"))).join(tested, ["a", "b"], "left_anti")
-    return found.union(_linked(rest, segments))
+    short = open_.where(F.col("size") <= SHORT_LIST)
+    other = short.select("h", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("component").alias("component2"))
+    rest = short.where("component <> top").join(other, "h").where((F.col("component") != F.col("component2")) & _possible(F.col("n"), F.col("k"), F.col("n2"), F.col("k2")))
+    rest = rest.select(F.col("c").alias("a"), F.col("c2").alias("b"), (F.col("n") + F.col("n2")).alias("both")).union(_long_list_pairs(open_.where(F.col("size") > SHORT_LIST).drop("size"), segments))
+    return found.union(_linked(cut(_pairs(rest).join(tested, ["a", "b"], "left_anti")), segments))
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows, and (c, first) of each class: the first row of its component, as a struct
+    of the doc_id and the row's hash."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profile = cut(rows.mapInArrow(_profile, "rid long, doc_id long, n long, c long, c2 long"))
+    label = components(class_links(docs, profile)).select(F.col("node").alias("c"), "component")
+    # one row per class first: a large group of copies is a minimum here, not a group in one task
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("first")
+    classes = profile.where("n > 0").groupBy("c", "c2").agg(first)
+    classes = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    least = classes.groupBy("component").agg(F.min("first").alias("first"))
+    return profile, classes.drop("first").join(least, "component").select("c", "first")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest doc_id that
     links reach, the document's own included."""
-    profile = cut(docs.select("doc_id", "text").mapInArrow(_profile, "doc_id long, n long, c long, c2 long"))
-    links = class_links(docs, profile)
-    label = components(links).select(F.col("node").alias("c"), "component")
-    # one row per class first: a large group of copies is a count here, not a group in one task
-    classes = profile.where("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = classes.join(least, "component").select("c", "component_id")
-    rows = profile.join(names, "c", "left").withColumnsRenamed({"n": "n_shingles"})
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
+    profile, first = _components(docs)
+    rows = profile.join(first, "c", "left")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("first.doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id."""
-    keep = grouped(docs).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else rows
+    """``docs`` with one row of each component, that with the smallest doc_id; rows with empty sets stay,
+    and rows that are equal in doc_id and text are one."""
+    profile, first = _components(docs)
+    rid = fresh(docs, "rid")
+    keep = first.select(F.col("first.rid").alias(rid)).union(profile.where("n = 0").select("rid")).distinct()
+    return docs.withColumn(rid, F.xxhash64("doc_id", "text")).join(keep, rid, "left_semi").dropDuplicates([rid]).drop(rid)
