@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import raster
 
@@ -66,7 +67,7 @@ def image_hash(name: str, orientation: int | None = None):
     """A UDF over Spark's image struct: the hash, or null where the image can't be read."""
     kernel = find(name)[1]
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def udf(images: pd.DataFrame) -> pd.Series:
         out = []
         for height, width, channels, data in zip(images["height"], images["width"], images["nChannels"], images["data"], strict=True):
@@ -137,7 +138,7 @@ def array_phash(values: Column) -> Column:
 ARRAY_HASHERS = {"ahash": array_ahash, "dhash": array_dhash, "phash": array_phash}
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def text_raster(texts: pd.Series) -> pd.Series:
     """64 counts of a text's code points modulo 64, over the whole text; null gives zeros."""
     count = lambda t: np.bincount(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") % 64, minlength=64).astype(np.int32)

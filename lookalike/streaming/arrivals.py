@@ -6,6 +6,7 @@ new are joined with the index, so a batch costs its own size, not the square of
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,8 @@ from ..functions.scalars import hamming, is_image
 from ..operators.components import components
 from ..sources.images import GLOB, hashed, local_path
 
+INDEX, LINKS = "path string, hash long", "a long, b long"
+
 
 def arrivals(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
     """A stream of the paths of new image files."""
@@ -29,28 +32,34 @@ def add_batch(index: DataFrame, links: DataFrame, new: DataFrame, radius: int) -
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
 
 
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches so far, with their batch; none where no batch has been written."""
+    try:
+        return spark.read.schema(f"{schema}, batch int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{schema}, batch int")
+
+
 def watch(spark: SparkSession, root: str, index_path: str, links_path: str, checkpoint: str, algorithm: str = "phash", radius: int = 3) -> StreamingQuery:
-    """Start the query; index and links are Parquet folders that it appends to. A batch that is run again
-    after a failure replaces its own rows, as both folders are partitioned by batch."""
+    """Start the query; index and links are Parquet folders with a folder for each batch. A batch that is
+    run again after a failure replaces its own rows."""
 
     def batch(paths: DataFrame, number: int) -> None:
         own = paths.select(local_path(F.col("path")).alias("path")).cache()
-        new = hashed(spark, root, algorithm).select("path", "hash").join(own, "path", "left_semi").withColumn("batch", F.lit(number))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(index_path)
-        index = spark.read.parquet(index_path)
-        try:
-            links = spark.read.parquet(links_path).where(F.col("batch") != number).select("a", "b")
-        except Exception:  # the first batch has no links folder yet
-            links = spark.createDataFrame([], "a long, b long")
-        more = add_batch(index.where(F.col("batch") < number), links, index.where(F.col("batch") == number), radius)
-        more.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(links_path)
+        hashed(spark, root, algorithm).select("path", "hash").join(own, "path", "left_semi").write.mode("overwrite").parquet(f"{index_path}/batch={number}")
         own.unpersist()
+        index = _read(spark, index_path, INDEX)
+        links = _read(spark, links_path, LINKS).where(F.col("batch") < number).select("a", "b")
+        more = add_batch(index.where(F.col("batch") < number), links, index.where(F.col("batch") == number), radius)
+        more.write.mode("overwrite").parquet(f"{links_path}/batch={number}")
 
     return arrivals(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_clusters(spark: SparkSession, index_path: str, links_path: str) -> DataFrame:
     """(cluster, path) of all items so far; cluster is the smallest hash of the component."""
-    items = spark.read.parquet(index_path).select("path", "hash")
-    label = components(spark.read.parquet(links_path).select("a", "b")).withColumnsRenamed({"node": "hash"})
+    items = _read(spark, index_path, INDEX).select("path", "hash")
+    label = components(_read(spark, links_path, LINKS).select("a", "b")).withColumnsRenamed({"node": "hash"})
     return items.join(label, "hash", "left").select(F.coalesce("component", "hash").alias("cluster"), "path")
