@@ -86,11 +86,8 @@ class Trie:
 
     def __init__(self, keys: list[tuple[bytes, int]]):
         keys = sorted(keys)
-        size = 1 << 12
-        self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        used = np.zeros(size, bool)
-        used[0] = True
-        self.check[0] = 0
+        self.base, self.check, self.value = [0], [0], [-1]
+        used = bytearray(b"\1")  # cells that are taken; the arrays grow with it
         pending, low = [(0, 0, len(keys), 0)], 1
         while pending:
             state, lo, hi, depth = pending.pop()
@@ -104,32 +101,36 @@ class Trie:
                 if i == hi or keys[i][0][depth] != keys[start][0][depth]:
                     children.append((keys[start][0][depth], start, i))
                     start = i
-            labels = np.array([c[0] for c in children])
-            while used[low]:
+            while low < len(used) and used[low]:
                 low += 1
-                if low + 600 > len(used):
-                    used = self._grow(used)
-            base, at, wide = -1, max(low, int(labels[0]) + 1), 64
-            while base < 0:  # the first place where all labels fall on free cells
-                while at + wide + 300 > len(used):
-                    used = self._grow(used)
-                free = at + np.flatnonzero(~used[at : at + wide]) - labels[0]
-                fit = np.flatnonzero(~used[free[:, None] + labels].any(axis=1))
-                if len(fit):
-                    base = int(free[fit[0]])
-                at, wide = at + wide, min(4096, wide * 2)
+            base = self._fit(used, low, [c[0] for c in children])
+            more = base + 257 - len(used)
+            if more > 0:
+                used.extend(bytes(more))
+                self.base.extend([0] * more)
+                self.check.extend([-1] * more)
+                self.value.extend([-1] * more)
             self.base[state] = base
-            used[base + labels] = True
-            self.check[base + labels] = state
-            pending.extend((base + c, a, b, depth + 1) for c, a, b in children)
-        self.depth = max((len(k) for k, _ in keys), default=0)
-
-    def _grow(self, used: np.ndarray) -> np.ndarray:
-        more = len(used)
-        self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
-        self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
-        self.value = np.concatenate([self.value, np.full(more, -1, np.int32)])
-        return np.concatenate([used, np.zeros(more, bool)])
+            for c, a, b in children:
+                used[base + c] = 1
+                self.check[base + c] = state
+                pending.append((base + c, a, b, depth + 1))
+        pad = [0] * 256  # a step may look past the last cell
+        self.base, self.check, self.value = (np.array([*x, *(v + d for v in pad)], np.int32) for x, d in ((self.base, 0), (self.check, -1), (self.value, -1)))
+
+    @staticmethod
+    def _fit(used: bytearray, low: int, labels: list[int]) -> int:
+        """The first base from which all labels fall on free cells."""
+        first, rest = labels[0], labels[1:]
+        at = max(low, first + 1)
+        while True:
+            at = used.find(0, at)
+            if at < 0:
+                return max(len(used), first + 1) - first
+            base = at - first
+            if all(base + c >= len(used) or not used[base + c] for c in rest):
+                return base
+            at += 1
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Child states; -1 where there is none."""
