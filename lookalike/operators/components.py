@@ -3,12 +3,12 @@
 Each round re-hangs neighbours onto the smallest node seen next to them (Kiveris et al. 2014), so the
 number of rounds grows with the logarithm of the diameter rather than with the diameter. Every round is
 two aggregations and two joins on the node; the edges are cut to a written table between rounds, and only
-their number and a checksum come to the driver.
+their number and a checksum, observed as they are written, come to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.stage_table import cut
@@ -32,13 +32,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has two columns of one orderable type; direction, loops and repeats don't matter."""
     a, b = edges.columns[:2]
-    now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    nodes = cut(now.select("a").union(now.select("b")).distinct().withColumnRenamed("a", "node"))
+    now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before:
-            return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        seen = Observation()
+        rows = _small_star(_large_star(now).distinct()).distinct()
+        now = cut(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("sum")))
+        if (state := seen.get) == before:
+            # all edges now lead from a node to its component's smallest
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         before = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
