@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from . import __version__, engine
@@ -57,8 +56,6 @@ def main(argv: list[str] | None = None) -> int:
             n = engine.cluster_images(spark, args.index, out, args.radius)
             print(f"{n['n_clusters']} clusters, {n['n_duplicate_clusters']} with duplicates, in {out}")
         elif args.command == "plan":
-            if not os.path.exists(args.clusters):
-                raise OSError(f"no file {args.clusters}")
             out = in_own_folder(args.out)
             n = engine.generate_plan(spark, args.clusters, out)
             print(f"{n['n_keep']} to keep, {n['n_delete']} to delete, in {out}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from .functions.hashers import find
 from .operators import clusters as cl
 from .operators import plan as pl
 from .operators import quarantine
-from .plans.stage_table import cut
+from .plans.stage_table import cut, exists
 from .sources import images, interchange
 
 
@@ -33,7 +32,7 @@ def radius_of(threshold: float) -> int:
 def hash_images(spark: SparkSession, root: str, out: str, algorithm: str = "phash") -> int:
     """Write the index of the images under ``root``; returns how many were hashed."""
     find(algorithm)
-    if not os.path.isdir(root):
+    if not exists(spark, root):
         raise FileNotFoundError(root)
     index = cut(images.hashed(spark, root, algorithm).select("path", "hash"))
     interchange.write_index(index, out)
@@ -42,7 +41,7 @@ def hash_images(spark: SparkSession, root: str, out: str, algorithm: str = "phas
 
 def cluster_images(spark: SparkSession, index: str, out: str, radius: int = 10) -> dict:
     """Write the clusters with duplicates of an index; returns the counts of all clusters."""
-    if not os.path.exists(index):
+    if not exists(spark, index):
         raise FileNotFoundError(index)
     found = cut(cl.cluster(interchange.read_index(spark, index), radius))
     interchange.write_clusters(cl.duplicates(found), out)
@@ -55,7 +54,7 @@ def generate_plan(spark: SparkSession, clusters: str, out: str, root: str | None
     roots = [root] if root else [r[0] for r in rows.selectExpr("regexp_replace(path, '/[^/]*$', '') AS folder").distinct().collect()]
     facts = None
     for folder in roots:
-        if os.path.isdir(folder):
+        if exists(spark, folder):
             own = images.file_facts(spark, folder)
             facts = own if facts is None else facts.union(own)
     if facts is None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
@@ -21,7 +20,7 @@ def cluster(items: DataFrame, radius: int = 10, strategy: str = "auto") -> DataF
     if radius < 0:
         return items.select(F.col("path").alias("cluster_id"), "path", "hash")
     if radius >= 64:
-        return items.crossJoin(F.broadcast(items.agg(F.min("path").alias("cluster_id")))).select("cluster_id", "path", "hash")
+        return items.select(items.agg(F.min("path")).scalar().alias("cluster_id"), "path", "hash")
     links = hash_pairs(items, radius, strategy).select("a", "b")
     label = components(links).withColumnsRenamed({"node": "hash"})
     by_hash = items.groupBy("hash").agg(F.min("path").alias("least")).join(label, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
@@ -31,8 +30,7 @@ def cluster(items: DataFrame, radius: int = 10, strategy: str = "auto") -> DataF
 
 def duplicates(clusters: DataFrame) -> DataFrame:
     """The rows of clusters with more than one member."""
-    size = F.count("*").over(W.partitionBy("cluster_id"))
-    return clusters.withColumn("_size", size).where("_size > 1").drop("_size")
+    return clusters.join(sizes(clusters).where("n > 1"), "cluster_id", "left_semi")
 
 
 def sizes(clusters: DataFrame) -> DataFrame:
@@ -46,5 +44,5 @@ def summary(clusters: DataFrame) -> DataFrame:
 
 
 def members(clusters: DataFrame) -> DataFrame:
-    """(cluster_id, members) with the paths in order."""
+    """(cluster_id, members) with the paths in order, for showing clusters that fit a row."""
     return clusters.groupBy("cluster_id").agg(F.sort_array(F.collect_list("path")).alias("members"))

@@ -16,28 +16,28 @@ def with_facts(clusters: DataFrame, facts: DataFrame) -> DataFrame:
     return known.select("cluster_id", "path", *[F.coalesce(c, F.lit(v).cast("long")).alias(c) for c, v in MISSING.items()])
 
 
-def best_first(order: Column | None = None) -> list[Column]:
-    """More pixels, then more bytes, then older, then by name whatever the case."""
-    last = [order] if order is not None else [F.col("path")]
-    return [F.desc("pixels"), F.desc("size"), F.asc("mtime"), F.lower("path"), *last]
+def ranked(clusters: DataFrame, facts: DataFrame) -> DataFrame:
+    """Clusters with file facts and each row's rank: more pixels, then more bytes, then older, then by name
+    whatever the case. A cluster is ordered in one task; plans, which need the best alone, don't use this."""
+    order = W.partitionBy("cluster_id").orderBy(F.desc("pixels"), F.desc("size"), F.asc("mtime"), F.lower("path"), F.col("path"))
+    return with_facts(clusters, facts).withColumn("rank", F.row_number().over(order))
+
+
+def _is_first(rows: DataFrame, *order: Column) -> DataFrame:
+    """Add ``first``: whether a row is its cluster's first by ``order`` and path. The least key of a cluster
+    is an aggregate, so no task orders a whole cluster."""
+    key = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.col("path"))
+    least = rows.groupBy("cluster_id").agg(F.min(key)["path"].alias("_least"))
+    return rows.join(least, "cluster_id").withColumn("first", F.col("path") == F.col("_least")).drop("_least")
 
 
 def make_plan(clusters: DataFrame, facts: DataFrame) -> DataFrame:
-    """(cluster_id, action, path, reason, rank, pixels, size, mtime): the best of each cluster is kept,
-    the rest deleted."""
-    rank = F.row_number().over(W.partitionBy("cluster_id").orderBy(*best_first()))
-    rows = with_facts(clusters, facts).withColumn("rank", rank)
-    first = F.col("rank") == 1
-    return rows.select(
-        "cluster_id",
-        F.when(first, "KEEP").otherwise("DELETE").alias("action"),
-        "path",
-        scalars.reason(F.when(first, "keeper").otherwise("dupe"), F.col("pixels"), F.col("size"), F.col("mtime")).alias("reason"),
-        "rank",
-        "pixels",
-        "size",
-        "mtime",
-    )
+    """(cluster_id, action, path, reason, pixels, size, mtime): the best of each cluster is kept, the rest
+    deleted."""
+    rows = _is_first(with_facts(clusters, facts), -F.col("pixels"), -F.col("size"), F.col("mtime"), F.lower("path"))
+    kind = F.when(F.col("first"), "keeper").otherwise("dupe")
+    reason = scalars.reason(kind, F.col("pixels"), F.col("size"), F.col("mtime"))
+    return rows.select("cluster_id", F.when(F.col("first"), "KEEP").otherwise("DELETE").alias("action"), "path", reason.alias("reason"), "pixels", "size", "mtime")
 
 
 def stats(plan: DataFrame) -> DataFrame:
@@ -68,27 +68,30 @@ def toggle(plan: DataFrame, cluster_id, path: str) -> DataFrame:
     return plan.withColumns({"action": F.when(hit, other).otherwise(F.col("action")), "reason": F.when(hit, "Manual selection").otherwise(F.col("reason"))})
 
 
+def _order(files: DataFrame) -> list[Column]:
+    return [F.col("ord")] if "ord" in files.columns else []
+
+
 def auto_select(files: DataFrame) -> DataFrame:
     """(cluster_id, path, action, reason) by size alone: the largest file of each cluster is kept, the
     first of equals; the order is ``ord`` where it is a column, else that of paths."""
-    order = "ord" if "ord" in files.columns else "path"
-    first = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("size"), order)) == 1
-    return files.select("cluster_id", "path", F.when(first, "keep").otherwise("delete").alias("action"), F.when(first, "Largest file kept").otherwise("Smaller duplicate removed").alias("reason"))
+    rows = _is_first(files, -F.coalesce("size", F.lit(0)), *_order(files))
+    return rows.select("cluster_id", "path", F.when(F.col("first"), "keep").otherwise("delete").alias("action"), F.when(F.col("first"), "Largest file kept").otherwise("Smaller duplicate removed").alias("reason"))
 
 
 def badges(files: DataFrame) -> DataFrame:
     """(cluster_id, path, is_largest, is_oldest): the first file of the greatest size above 0, and the
     first of the least mtime, where 0 and null are no mtime."""
-    order = "ord" if "ord" in files.columns else "path"
-    by_size = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("size"), order))
-    by_time = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.nullif("mtime", F.lit(0)).asc_nulls_last(), order))
-    largest = (by_size == 1) & (F.coalesce("size", F.lit(0)) > 0)
-    oldest = (by_time == 1) & (F.coalesce("mtime", F.lit(0)) != 0)
-    return files.select("cluster_id", "path", largest.alias("is_largest"), oldest.alias("is_oldest"))
+    rows = _is_first(files, -F.coalesce("size", F.lit(0)), *_order(files)).withColumnRenamed("first", "_largest")
+    rows = _is_first(rows, F.coalesce(F.nullif("mtime", F.lit(0)), F.lit(MISSING["mtime"])), *_order(files))
+    largest = F.col("_largest") & (F.coalesce("size", F.lit(0)) > 0)
+    oldest = F.col("first") & (F.coalesce("mtime", F.lit(0)) != 0)
+    return rows.select("cluster_id", "path", largest.alias("is_largest"), oldest.alias("is_oldest"))
 
 
 def listing(clusters: DataFrame, facts: DataFrame) -> DataFrame:
-    """(id, files) with {path, size, modified} of each cluster's files; files unknown to ``facts`` have 0."""
+    """(id, files) with {path, size, modified} of each cluster's files, for showing clusters that fit a row;
+    files unknown to ``facts`` have 0."""
     rows = clusters.join(facts, "path", "left")
     file = F.struct("path", F.coalesce("size", F.lit(0).cast("long")).alias("size"), F.coalesce("mtime", F.lit(0).cast("long")).alias("modified"))
     return rows.groupBy("cluster_id").agg(F.sort_array(F.collect_list(file)).alias("files")).select(F.col("cluster_id").alias("id"), "files")

@@ -24,8 +24,9 @@ BANDED_RADIUS = 4
 
 
 def nodes(items: DataFrame) -> DataFrame:
-    """(hash, n, paths) of each distinct hash."""
-    return items.groupBy("hash").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("paths"))
+    """(hash, n, first_path, last_path) of each distinct hash; joining on hash gives its items, which are
+    not gathered into a list, as one hash may hold much of the table."""
+    return items.groupBy("hash").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
 def bands(n: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ from ..operators import quarantine
 from ..operators import similarity as sim
 from ..operators.components import components
 from ..sources import interchange
-from .stage_table import cut
+from .stage_table import cut, scratch
 
 #: Extensions by doc_id modulo 5.
 ENDINGS = (".jpg", ".PNG", ".bmp", ".txt", ".gif")
@@ -106,7 +106,7 @@ dups AS (SELECT cluster_id, path FROM clusters QUALIFY COUNT(*) OVER (PARTITION
 _PLAN = f"""{_CLUSTERS}, {_FACTS},
 ranked AS (SELECT cluster_id, path, pixels, size, mtime, row_number() OVER (PARTITION BY cluster_id ORDER BY pixels DESC, size DESC, mtime, lower(path), path) AS rank FROM dups JOIN facts USING (path)),
 plan AS (SELECT cluster_id, CASE WHEN rank = 1 THEN 'KEEP' ELSE 'DELETE' END AS action, path,
-  CASE WHEN rank = 1 THEN 'keeper' ELSE 'dupe' END || '(pixels=' || pixels || ',size=' || size || ',mtime=' || mtime || ')' AS reason, CAST(rank AS INTEGER) AS rank, pixels, size, mtime FROM ranked)"""
+  CASE WHEN rank = 1 THEN 'keeper' ELSE 'dupe' END || '(pixels=' || pixels || ',size=' || size || ',mtime=' || mtime || ')' AS reason, pixels, size, mtime FROM ranked)"""
 _VECS = "cells AS (SELECT vec_id, unnest(range(64)) AS p, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE embedding IS NOT NULL)"
 _VEC_ITEMS = f"""{_VECS}, bits AS (SELECT vec_id, p, v >= AVG(v) OVER (PARTITION BY vec_id) AS bit FROM cells),
 items AS (SELECT vec_id, {_PACKED} AS hash FROM bits GROUP BY 1)"""
@@ -241,8 +241,7 @@ def radius_search(spark, sf_dir):
 
 @query(f"WITH {_DOCS} SELECT hash, COUNT(*) AS n, MIN(path) AS first_path, MAX(path) AS last_path FROM items GROUP BY 1")
 def hash_nodes(spark, sf_dir):
-    rows = sim.nodes(doc_items(spark, sf_dir))
-    return rows.select("hash", "n", F.element_at("paths", 1).alias("first_path"), F.element_at("paths", -1).alias("last_path"))
+    return sim.nodes(doc_items(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT cluster_id, path FROM clusters")
@@ -273,6 +272,11 @@ def dedup_plan(spark, sf_dir):
     return doc_plan(spark, sf_dir)
 
 
+@query(f"WITH RECURSIVE {_PLAN} SELECT cluster_id, path, pixels, size, mtime, CAST(rank AS INTEGER) AS rank FROM ranked")
+def cluster_ranks(spark, sf_dir):
+    return pl.ranked(cl.duplicates(doc_clusters(spark, sf_dir)), doc_facts(spark, sf_dir)).select("cluster_id", "path", "pixels", "size", "mtime", "rank")
+
+
 @query(f"WITH RECURSIVE {_PLAN} SELECT COUNT(DISTINCT cluster_id) AS n_clusters, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE action = 'KEEP') AS n_keep, COUNT(*) FILTER (WHERE action = 'DELETE') AS n_delete FROM plan")
 def plan_stats(spark, sf_dir):
     return pl.stats(doc_plan(spark, sf_dir))
@@ -307,10 +311,10 @@ def keeper_join(spark, sf_dir):
     return pl.with_keepers(doc_plan(spark, sf_dir)).select("cluster_id", "path", "keeper")
 
 
-@query(f"WITH RECURSIVE {_PLAN} SELECT cluster_id, path, CASE WHEN rank % 2 = 0 THEN 'delete' ELSE 'keep' END AS action FROM plan")
+@query(f"WITH RECURSIVE {_PLAN} SELECT cluster_id, path, CASE WHEN mtime % 2 = 0 THEN lower(action) ELSE 'keep' END AS action FROM plan")
 def review_join(spark, sf_dir):
     plan = doc_plan(spark, sf_dir)
-    return pl.reviewed(plan.select("cluster_id", "path"), plan.where("rank % 2 = 0"))
+    return pl.reviewed(plan.select("cluster_id", "path"), plan.where("mtime % 2 = 0"))
 
 
 @query(f"WITH {_FACTS} SELECT path, name || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.x' AS name FROM (SELECT 'd/' || size || '/f' || (size % 50) || '.x/' || path AS path0, path, 'f' || (size % 50) AS name, row_number() OVER (PARTITION BY size % 50 ORDER BY 'd/' || path || '/f' || (size % 50) || '.x') - 1 AS k FROM facts)")
@@ -323,10 +327,7 @@ def quarantine_names(spark, sf_dir):
 @query(f"WITH {_VEC_ITEMS} SELECT 'v,' || vec_id AS path, hash FROM items")
 def index_round_trip(spark, sf_dir):
     """An index written as text, with commas in its paths, and read again."""
-    from .stage_table import shared_dir
-    import uuid
-
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     interchange.write_index(vec_items(spark, sf_dir).select(F.concat(F.lit("v,"), F.col("vec_id").cast("string")).alias("path"), "hash"), path)
     return interchange.read_index(spark, path)
 
@@ -334,9 +335,6 @@ def index_round_trip(spark, sf_dir):
 @query(f"WITH RECURSIVE {_PLAN} SELECT cluster_id AS \"clusterId\", lower(action) AS action, path, reason FROM plan")
 def plan_round_trip(spark, sf_dir):
     """A plan written as quoted CSV and read again, actions normalised."""
-    from .stage_table import shared_dir
-    import uuid
-
-    path = f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+    path = scratch(spark, "plan")
     interchange.write_plan(doc_plan(spark, sf_dir), path)
     return interchange.read_plan(spark, path)

@@ -24,16 +24,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame, keep: bool = True) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store its scheme names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it back. Lineage ends at files that outlive any executor; they are removed
     when Python exits."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "stage")
     df.write.parquet(path)
-    if keep:
-        _written.append((df.sparkSession, path))
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stage_path = path
-    return out
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

@@ -7,8 +7,6 @@ current clusters name are served.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import engine
 from .operators import plan as pl
+from .plans.stage_table import exists, scratch
 from .sources import images, interchange
 
 PRESETS = {"identical": (1.0, "ahash"), "similar": (0.95, "phash")}
@@ -53,13 +52,12 @@ class Service:
             self.jobs[job] = {**self.jobs.get(job, {}), **changes}
 
     def process(self, directory: str | None, threshold: str = "0.95", algorithm: str = "phash") -> tuple[int, dict]:
-        if not directory or not os.path.isdir(directory):
+        if not directory or not exists(self.spark, directory):
             return 400, {"error": "directory is missing"}
         radius = engine.radius_of(float(threshold))
 
         def work(tell) -> str:
-            folder = tempfile.mkdtemp(prefix="lookalike")
-            index, clusters, plan = (os.path.join(folder, x) for x in ("hashes.csv", "clusters.csv", "plan.csv"))
+            index, clusters, plan = (scratch(self.spark, x) for x in ("hashes", "clusters", "plan"))
             tell(10, "hashing")
             engine.hash_images(self.spark, directory, index, algorithm)
             tell(40, "clustering")
@@ -77,10 +75,10 @@ class Service:
             return (200, dict(found)) if found else (404, {"error": "no such job"})
 
     def _cluster_rows(self) -> DataFrame | None:
-        return interchange.read_clusters(self.spark, self.clusters) if self.clusters and os.path.exists(self.clusters) else None
+        return interchange.read_clusters(self.spark, self.clusters) if self.clusters and exists(self.spark, self.clusters) else None
 
     def _plan_rows(self) -> DataFrame | None:
-        return engine.read_plan(self.spark, self.plan) if self.plan and os.path.exists(self.plan) else None
+        return engine.read_plan(self.spark, self.plan) if self.plan and exists(self.spark, self.plan) else None
 
     def list_clusters(self) -> tuple[int, list]:
         rows = self._cluster_rows()
@@ -96,7 +94,7 @@ class Service:
     def update_plan(self, body: str) -> tuple[int, str]:
         frame = self.spark.createDataFrame([(body,)], "body string").select(F.explode(interchange.plan_from_json(F.col("body"))).alias("r")).select("r.*")
         rows = pl.normalise(frame.withColumnRenamed("clusterId", "cluster_id").withColumn("reason", F.coalesce("reason", F.lit(""))))
-        target = os.path.join(tempfile.mkdtemp(prefix="lookalike"), "plan.csv")
+        target = scratch(self.spark, "plan")
         interchange.write_plan(rows, target)
         self.plan = target
         return 200, "OK"
@@ -110,7 +108,7 @@ class Service:
         if not path:
             return 400, {"error": "path is missing"}, "application/json"
         rows = self._cluster_rows()
-        found = images.image_bytes(self.spark, path, rows) if rows is not None and os.path.isfile(path) else None
+        found = images.image_bytes(self.spark, path, rows) if rows is not None and exists(self.spark, path) else None
         return (200, *found) if found else (404, {"error": "no such image"}, "application/json")
 
     def answer(self, method: str, target: str, body: str = "") -> tuple[int, bytes, str]:

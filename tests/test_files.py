@@ -171,4 +171,4 @@ def test_watch(spark, folder, tmp_path):
 def test_unknown_files_rank_last(spark):
     c = spark.createDataFrame([("1", "/none/a.png"), ("1", "/none/b.png")], "cluster_id string, path string")
     facts = spark.createDataFrame([], "path string, pixels long, size long, mtime long")
-    assert [r["action"] for r in pl.make_plan(c, facts).orderBy("rank").collect()] == ["KEEP", "DELETE"]
+    assert [r["action"] for r in pl.make_plan(c, facts).orderBy("path").collect()] == ["KEEP", "DELETE"]

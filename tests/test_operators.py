@@ -110,9 +110,10 @@ def test_clusters(spark):
 def test_plan_order(spark):
     rows = spark.createDataFrame([("c", x) for x in ("small", "Big", "mid", "gone")], "cluster_id string, path string")
     facts = spark.createDataFrame([("Big", 160000, 9, 3000), ("mid", 40000, 9, 1000), ("small", 10000, 9, 2000)], "path string, pixels long, size long, mtime long")
-    plan = pl.make_plan(rows, facts).orderBy("rank").collect()
-    assert [(r["path"], r["action"]) for r in plan] == [("Big", "KEEP"), ("mid", "DELETE"), ("small", "DELETE"), ("gone", "DELETE")]
-    assert plan[0]["reason"] == "keeper(pixels=160000,size=9,mtime=3000)" and plan[3]["reason"].startswith("dupe(pixels=-1,size=-1,mtime=9223372036854775807")
+    assert [r["path"] for r in pl.ranked(rows, facts).orderBy("rank").collect()] == ["Big", "mid", "small", "gone"]
+    plan = {r["path"]: r for r in pl.make_plan(rows, facts).collect()}
+    assert {p: r["action"] for p, r in plan.items()} == {"Big": "KEEP", "mid": "DELETE", "small": "DELETE", "gone": "DELETE"}
+    assert plan["Big"]["reason"] == "keeper(pixels=160000,size=9,mtime=3000)" and plan["gone"]["reason"].startswith("dupe(pixels=-1,size=-1,mtime=9223372036854775807")
 
 
 def test_review(spark):
