@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are labelled rows outside the held-out fold. Their vocabulary is the words whose counts among
-toxic and clean examples differ beyond chance (a likelihood-ratio statistic); inverse document
+Examples are labelled rows outside the held-out fold. Their vocabulary is the words that toxic
+examples have more often than clean ones, beyond chance (a likelihood-ratio statistic); inverse document
 frequencies are counted over all documents. Examples are unit vectors of (1 + log tf) * idf in an
 inverted index whose postings are cut into blocks of examples, each with its largest weight for every
 word. A search sums those maxima to bound each block, opens blocks from the highest bound on, and stops
@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 from . import textscan
 
 MAX_EXAMPLES = 12_000
-MAX_WORDS = 2_048
-#: Least likelihood-ratio statistic of a vocabulary word, and least number of examples that have it.
-LEAST_G2, LEAST_DF = 15.0, 4
+MAX_WORDS = 1_024
+#: Least likelihood-ratio statistic of a vocabulary word, and least number of examples that have it. The
+#: statistic must also reach twice the log of the number of words tested, less CHANCE.
+LEAST_G2, LEAST_DF, CHANCE = 15.0, 4, 4.0
+#: Scores that a worker remembers; many texts have the same few vocabulary words.
+REMEMBER = 50_000
 K = 16
 BLOCK = 64
 #: Weight of the prior in a vote, in units of similarity.
@@ -76,34 +79,39 @@ class Index:
         order = np.lexsort((self.ids, lead))
         self.labels, self.ids, self.vectors = self.labels[order], self.ids[order], [self.vectors[i] for i in order]
         n_blocks = max(1, -(-len(order) // BLOCK))
-        self.most = np.zeros((len(self.words), n_blocks), np.float64)
-        lists: list[list] = [[] for _ in self.words]
-        for i, (terms, weights) in enumerate(self.vectors):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lists[t].append((i, w))
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.postings = [(np.array([p[0] for p in x], np.int64), np.array([p[1] for p in x], np.float64)) for x in lists]
-        self.cuts = [np.searchsorted(p, np.arange(n_blocks + 1) * BLOCK) for p, _ in self.postings]
+        # block b's postings: the words that occur in it, and a row of weights of its examples for each
+        self.most = np.zeros((len(self.words), n_blocks))
+        self.blocks = []
+        for b in range(n_blocks):
+            own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
+            terms = np.unique(np.concatenate([t for t, _ in own])) if own else np.zeros(0, np.int64)
+            weights = np.zeros((len(terms), BLOCK))
+            for i, (t, w) in enumerate(own):
+                weights[np.searchsorted(terms, t), i] = w
+            self.most[terms, b] = weights.max(axis=1, initial=0.0)
+            self.blocks.append((terms, weights))
         self.counts = self.counts[order]
         self._calibrate()
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with a similarity above 0, and their similarities."""
         bounds = weights @ self.most[terms]
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best_s) == k and best_s[-1] >= bounds[block] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.cuts[t][block], self.cuts[t][block + 1]
-                if hi > lo:
-                    at, own = self.postings[t]
-                    scores[at[lo:hi] - block * BLOCK] += w * own[lo:hi]
-            hit = np.flatnonzero(scores > 0)
-            best_i, best_s = np.concatenate([best_i, hit + block * BLOCK]), np.concatenate([best_s, scores[hit]])
-            order = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[order], best_s[order]
+        order = np.argsort(-bounds, kind="stable")
+        order, best_i, best_s, at, step = order[: np.count_nonzero(bounds > 0)], np.zeros(0, np.int64), np.zeros(0), 0, 1
+        while at < len(order) and not (len(best_s) == k and best_s[-1] >= bounds[order[at]] - 1e-12):
+            found_i, found_s = [best_i], [best_s]
+            for block in order[at : at + step]:  # more at a time as the search goes on
+                own, rows = self.blocks[block]
+                place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+                hit = own[place] == terms
+                scores = weights[hit] @ rows[place[hit]]
+                near = np.flatnonzero(scores > 0)
+                found_i.append(near + block * BLOCK)
+                found_s.append(scores[near])
+            at, step = at + step, min(2 * step, 16)
+            best_i, best_s = np.concatenate(found_i), np.concatenate(found_s)
+            top = np.lexsort((best_i, -best_s))[:k]
+            best_i, best_s = best_i[top], best_s[top]
         return best_i, best_s
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
@@ -182,14 +190,18 @@ def _word_counts(words: np.ndarray):
 
 def _scorer(index: Index):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
+            if len(known) > REMEMBER:
+                known.clear()
             for part in _scan(batch.column("text")):
                 n = part.hi - part.lo
                 row, term, count = _found(part, index.words)
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 scores, near = [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    s, ids = index.score(term[a:b], count[a:b])
+                    key = term[a:b].tobytes(), count[a:b].tobytes()
+                    s, ids = known.get(key) or known.setdefault(key, index.score(term[a:b], count[a:b]))
                     scores.append(s)
                     near.append(ids)
                 rows = batch.slice(part.lo, n)
@@ -222,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         cell = lambda k, n, share: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
         share = (k1 + k2) / (n1 + n2)
         statistic = 2.0 * (cell(k1, n1, share) + cell(k2, n2, share) + cell(n1 - k1, n1, 1.0 - share) + cell(n2 - k2, n2, 1.0 - share))
-        chosen = by_word.withColumn("g2", statistic).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(MAX_WORDS)
+        least = max(LEAST_G2, 2.0 * float(np.log(max(1, by_word.count()))) - CHANCE)
+        chosen = by_word.withColumn("g2", statistic).where((F.col("g2") >= least) & (k1 > n1 * share)).orderBy(F.desc("g2"), "word").limit(MAX_WORDS)
         words = np.sort(np.array([r["word"] for r in chosen.select("word").collect()], np.int64).view(np.uint64))
         terms = {int(w): i for i, w in enumerate(words.view(np.int64))}
         hits = found.where(F.col("word").isin(list(terms))).select("doc_id", "toxic", "word", "n").collect() if terms else []
