@@ -60,10 +60,10 @@ def _tape(docs: DataFrame) -> DataFrame:
     """
     n_buckets = math.ceil(math.sqrt(max(1, docs.count())))
     dealt = (
-        docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+        docs.withColumn("_h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))))
         .withColumn("_size", n_words("text"))
         .withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .withColumn("_b", F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * n_buckets).cast("long"))
+        .withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 2.0**32 * n_buckets).cast("long"))
     )
     sums = dealt.groupBy("_s", "_b").agg(F.first("source").alias("source"), F.sum("_size").alias("_sum"))
     per_source = targets(sums.groupBy("_s").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import ann, html_text, mixing, ngram_join, pieces, quality, quoting, repeats, token_counts, toxicity
 from .common import table
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +33,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message without quotes; reply_path is its path, text_sha256 the digest of its text."""
+    """Every message without quotes: the turn it answers or -1, its path, and the digest of its text."""
     rows = quoting.unquoted(table(spark, sf_dir, "conversations"))
     path = F.concat_ws("/", F.transform("path", lambda x: x.cast("string")))
-    return rows.select("conv_id", "turn", "role", "parent_turn", path.alias("reply_path"), "n_quoted", F.sha2("text", 256).alias("text_sha256"))
+    return rows.select("conv_id", "turn", "role", F.coalesce("parent_turn", F.lit(-1)).cast("long").alias("parent_turn"), path.alias("reply_path"), "n_quoted", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +60,3 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_html_text, op4_mixing, op5_quality, op6_quoting, op7_nearest, op8_pieces, op9_ngram_join, op10_repeats)}
-
-ORACLE_SQL: dict[str, str] = {}
