@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,5 +51,6 @@ def _clear() -> None:
     for spark, path in _written:
         try:
             remove(spark, path)
-        except Exception:  # the session has ended before Python; its owner clears the folder
-            return
+        except Exception:  # the session has ended before Python
+            if path.startswith("file:"):
+                shutil.rmtree(urlsplit(path).path, ignore_errors=True)
