@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stage_table import cut
+from ..plans import stage_table
 
 __all__ = ["SPACE", "WORD", "cut", "fresh", "n_words", "table", "words"]
 
@@ -13,6 +13,24 @@ __all__ = ["SPACE", "WORD", "cut", "fresh", "n_words", "table", "words"]
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch while a table is written between steps: texts are long, and the batches of all tasks
+#: of an executor lie outside its heap.
+ARROW_ROWS = 1_000
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, every executor can
+    read it, and a lost executor takes none of it along."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    if 0 < int(before) <= ARROW_ROWS:
+        return stage_table.cut(df)
+    conf.set(key, str(ARROW_ROWS))
+    try:
+        return stage_table.cut(df)
+    finally:
+        conf.set(key, before)
+
 
 def words(text: str | Column) -> Column:
     """Array of the text's words; null and empty texts have none."""

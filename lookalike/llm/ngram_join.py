@@ -41,7 +41,7 @@ WIDTH = 5
 #: Share of the union, in percent, from which two sets link.
 PERCENT = 80
 #: N-grams of one fragment, on average, at most.
-FRAGMENT = 3_000_000
+FRAGMENT = 1_500_000
 #: Fragments in which the overlap of a pair is counted.
 PAIR_FRAGMENTS = 4
 #: In lists of up to so many classes, all pairs of different components are compared.
