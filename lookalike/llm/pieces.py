@@ -4,8 +4,8 @@ A model file gives pieces with log scores. Their UTF-8 bytes make a double-array
 segmentation of a text maximises the sum of its pieces' scores; a character that no piece covers is
 spelt by byte pieces, at a penalty below the least score. White space is written as the marker U+2581,
 with one in front of the text, and no piece has a marker after another character, so the best path of
-a text is made of the best paths of its runs "markers, then other characters". Equal runs are segmented
-once per batch: all distinct runs step through the trie together, as array operations.
+a text is made of the best paths of its runs "markers, then other characters". A run is segmented once as
+long as a worker remembers it, and all new runs step through the trie together, as array operations.
 
 Decoding joins the pieces' bytes, turns byte pieces back into bytes and markers into spaces, and drops
 the space in front; invalid UTF-8 becomes U+FFFD. Decoding an encoding gives back every text that has
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Texts are encoded in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
+#: Distinct runs, and pieces in them, that a worker remembers from group to group.
+REMEMBER_RUNS, REMEMBER_PIECES = 400_000, 4_000_000
 
 
 def default_model() -> str:
@@ -146,6 +149,19 @@ class Trie:
         return int(self.value[state])
 
 
+class Numbers(dict):
+    """Numbers keys as they are asked for first; ``fresh`` has those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class Model:
     """Pieces, their trie, and encoding and decoding with them."""
 
@@ -166,11 +182,14 @@ class Model:
         self.unknown = min((self.scores[i] for i, k in enumerate(kinds) if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
         text = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p for p, _, k in self.pieces]
         self.text = text
+        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self._forget()
 
     # -- encoding ---------------------------------------------------------------------------------
 
-    def runs(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-        """Ids of the best path of each run data[first : first + size], all runs together."""
+    def runs(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the best path of each run data[first : first + size], one run after the other, and their
+        numbers."""
         n, longest = len(first), int(size.max(initial=0))
         padded = np.concatenate([data, np.zeros(longest + 1, np.uint8)])
         text = padded[first[:, None] + np.arange(longest + 1)]
@@ -211,7 +230,7 @@ class Model:
             steps.append((row, begin, at[row], piece[row, at[row]]))
             at[row] = begin
         if not steps:
-            return [np.zeros(0, np.int32)] * n
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
         row, begin, end, value = (np.concatenate([s[k] for s in steps[::-1]]) for k in range(4))
         spelt = value < 0
         times = np.where(spelt, end - begin, 1)
@@ -221,39 +240,45 @@ class Model:
         gap = np.flatnonzero(ids < 0)
         ids[gap] = self.bytes[text[row_of[gap], place[gap]]]
         order = np.argsort(row_of, kind="stable")
-        return np.split(ids[order], np.cumsum(np.bincount(row_of, minlength=n))[:-1])
+        return ids[order], np.bincount(row_of, minlength=n)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        import re
-
-        split, known, lists = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall, {}, []
-        for text in texts:
-            runs = split(MARK + text.replace(" ", MARK)) if text else []
-            lists.append([known.setdefault(r, len(known)) for r in runs])
-        distinct = [r.encode("utf-8", "surrogatepass") for r in known]
-        paths: list = [None] * len(distinct)
-        size = np.array([len(x) for x in distinct], np.int64)
+    def _forget(self) -> None:
+        self.known, self.flat = Numbers(), np.zeros(0, np.int32)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Find the best paths of the runs that are new."""
+        fresh = [r.encode("utf-8", "surrogatepass") for r in self.known.fresh]
+        self.known.fresh.clear()
+        size = np.array([len(x) for x in fresh], np.int64)
         order = np.argsort(size, kind="stable")
-        lo = 0
+        begin, count, parts, at, lo = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), [self.flat], len(self.flat), 0
         while lo < len(order):  # runs of like length together, and a bounded table for each group
             hi = lo + 1
             while hi < len(order) and (hi - lo + 1) * (size[order[hi]] + 1) <= 1 << 19 and size[order[hi]] <= 1.3 * size[order[lo]] + 2:
                 hi += 1
             group = order[lo:hi]
-            data = np.frombuffer(b"".join(distinct[i] for i in group), np.uint8)
-            for i, ids in zip(group, self.runs(data, np.cumsum(size[group]) - size[group], size[group]), strict=True):
-                paths[i] = ids
-            lo = hi
-        if not paths:
-            return [np.zeros(0, np.int32) for _ in texts]
-        count = np.array([len(p) for p in paths])
-        begin, flat = np.cumsum(count) - count, np.concatenate(paths)
+            data = np.frombuffer(b"".join([fresh[i] for i in group]), np.uint8)
+            ids, n = self.runs(data, np.cumsum(size[group]) - size[group], size[group])
+            begin[group], count[group] = at + np.cumsum(n) - n, n
+            parts.append(ids)
+            at, lo = at + len(ids), hi
+        self.flat = np.concatenate(parts)
+        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.known) > REMEMBER_RUNS or len(self.flat) > REMEMBER_PIECES:
+            self._forget()
+        number, split = self.known.__getitem__, self.split
+        lists = [np.array([number(r) for r in split(MARK + text.replace(" ", MARK))] if text else [], np.int64) for text in texts]
+        if self.known.fresh:
+            self._learn()
         out = []
-        for runs in lists:
-            r = np.array(runs, np.int64)
-            times = count[r]
-            out.append(flat[np.repeat(begin[r] - (np.cumsum(times) - times), times) + np.arange(times.sum())])
+        for r in lists:
+            times = self.count[r]
+            ends = np.cumsum(times)
+            out.append(self.flat[np.repeat(self.begin[r] - (ends - times), times) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
     # -- decoding ---------------------------------------------------------------------------------
