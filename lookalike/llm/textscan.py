@@ -3,7 +3,8 @@
 A word boundary is a byte, so the rule for words (runs without ASCII white space) works on bytes. A
 word's hash is a polynomial over its bytes modulo 2^64 followed by a mixing step; it depends on the
 word alone. Columns are scanned in slices of a bounded number of bytes, so that one batch of long
-texts needs bounded memory; a single text longer than a slice is a slice of its own.
+texts needs bounded memory; a single text longer than a slice is a slice of its own, whose words are hashed
+piece by piece.
 """
 
 from __future__ import annotations
@@ -55,6 +56,18 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mixed((sums[ends] - sums[starts]) * _down(len(values) + 1)[starts] + (ends - starts).astype(U64))
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words of bytes. A long text is worked off in pieces that end between words, as each step
+    needs several times eight bytes for every byte."""
+    out, lo = np.zeros(len(starts), U64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE_BYTES, "right")))
+        begin = starts[lo]
+        out[lo:hi] = spans(data[begin : ends[hi - 1]].astype(U64) + U64(1), starts[lo:hi] - begin, ends[lo:hi] - begin)
+        lo = hi
+    return out
+
+
 @dataclass
 class Slice:
     """Some rows of a column: rows lo to hi; word arrays; first word of each row (hi - lo + 1 entries)."""
@@ -99,7 +112,7 @@ def slices(column: pa.Array, lower: bool = False, separators: np.ndarray | None
         edge[rows] = True
         starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
         ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-        hashes = spans(own.astype(U64) + U64(1), starts, ends)
+        hashes = _word_hashes(own, starts, ends)
         yield Slice(lo, hi, own, hashes, starts, ends, np.searchsorted(starts, rows))
         lo = hi
 

@@ -51,6 +51,10 @@ def test_scan_slices(monkeypatch):
     parts = list(textscan.slices(pa.array(texts).slice(0)))
     assert len(parts) > 10 and (np.concatenate([p.hashes for p in parts]) == whole).all()
     assert (np.concatenate([p.hashes for p in textscan.slices(pa.array(["zz", *texts]).slice(1))]) == whole).all()
+    long = ["ab cd " * 40 + "x" * 300 + " ab" * 9]
+    small = next(textscan.slices(pa.array(long))).hashes
+    monkeypatch.undo()
+    assert (next(textscan.slices(pa.array(long))).hashes == small).all() and small[0] == small[-1]
 
 
 # -- mixing --------------------------------------------------------------------------------------
