@@ -93,7 +93,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash, document and place of each window whose anchor is shared."""
+    """Hash, document and places of each window whose anchor is shared; a window that a document has more
+    than once, as of a word or words again and again, is one row."""
     for batch in batches:
         shared = batch.column("anchors")
         for part in textscan.slices(batch.column("text")):
@@ -106,14 +107,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # (document, anchor) pairs as one hash, for one search over the slice
             key = lambda rows, a: textscan.mixed(a.astype(np.int64).view(np.uint64) + rows.astype(np.uint64) * textscan.BASE)
             hit = np.isin(key(doc, least.view(np.int64)), key(owner, values))
-            rows = batch.slice(part.lo, part.hi - part.lo)
-            take = pa.array(doc[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[hit]), rows.column("rid").take(take), rows.column("doc_id").take(take), pa.array((begin - part.first[:-1][doc])[hit].astype(np.int32))], ["h", "rid", "doc_id", "at"])
+            hashes, doc, at = hashes[hit], doc[hit], (begin - part.first[:-1][doc])[hit]
+            order = np.lexsort((at, hashes, doc))
+            hashes, doc, at = hashes[order], doc[order], at[order].astype(np.int32)
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+            lead = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.append(lead, len(hashes)).astype(np.int32)), pa.array(at))
+            rows, take = batch.slice(part.lo, part.hi - part.lo), pa.array(doc[lead])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[lead]), rows.column("rid").take(take), rows.column("doc_id").take(take), places], ["h", "rid", "doc_id", "at"])
 
 
 def covered(n: int, begin: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Flags of the words that windows starting at ``begin`` cover."""
-    marks = np.zeros(n + window + 1, np.int64)
+    marks = np.zeros(n + 1, np.int64)
     np.add.at(marks, begin, 1)
     np.add.at(marks, begin + window, -1)
     return np.cumsum(marks)[:n] > 0
@@ -134,7 +141,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
 
 
 def _matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,9 +156,9 @@ def _matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     unique = long.join(first, ["s1", "s2", "doc_id"], "left_semi")
     seeds = unique.select("rid", F.explode("anchors").alias("a")).join(shared, "a").groupBy("rid").agg(F.collect_set("a").alias("anchors"))
     texts = cut(rows.join(seeds, "rid").dropDuplicates(["rid"]))
-    windows = texts.mapInArrow(_windows, "h long, rid long, doc_id long, at int")
+    windows = texts.mapInArrow(_windows, "h long, rid long, doc_id long, at array<int>")
     earliest = windows.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
-    hits = windows.join(earliest, "h").where(F.col("doc_id") > F.col("least")).groupBy("rid").agg(F.collect_list("at").alias("at"))
+    hits = windows.join(earliest, "h").where(F.col("doc_id") > F.col("least")).groupBy("rid").agg(F.flatten(F.collect_list("at")).alias("at"))
     cuts = texts.select("rid", "text").join(hits, "rid").mapInArrow(_without, "rid long, n_removed long, kept string")
     return profile, first, cuts
 
