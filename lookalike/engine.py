@@ -39,8 +39,10 @@ def hash_images(spark: SparkSession, root: str, out: str, algorithm: str = "phas
     return index.count()
 
 
-def cluster_images(spark: SparkSession, index: str, out: str, radius: int = 10) -> dict:
-    """Write the clusters with duplicates of an index; returns the counts of all clusters."""
+def cluster_images(spark: SparkSession, index: str, out: str, radius: int = 10, threshold: float | None = None) -> dict:
+    """Write the clusters with duplicates of an index; returns the counts of all clusters. A threshold of
+    similarity takes the place of the radius."""
+    radius = radius if threshold is None else radius_of(threshold)
     if not exists(spark, index):
         raise FileNotFoundError(index)
     found = cut(cl.cluster(interchange.read_index(spark, index), radius))

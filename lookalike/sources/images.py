@@ -43,6 +43,11 @@ def hashed(spark: SparkSession, root: str, algorithm: str = "phash", orientation
     return rows.where("hash is not null")
 
 
+def skipped(spark: SparkSession, root: str, index: DataFrame) -> DataFrame:
+    """(path, size, mtime) of the image files under ``root`` that an index lacks, as they couldn't be read."""
+    return files(spark, root).join(index.select("path"), "path", "left_anti")
+
+
 def file_facts(spark: SparkSession, root: str) -> DataFrame:
     """(path, pixels, size, mtime) of the image files under ``root``; pixels are -1 where a file can't be
     decoded."""

@@ -44,6 +44,7 @@ def test_scan(spark, folder):
     assert names == {"a.png", "b, copy.PNG", "c.jpg", "other.bmp", "broken.jpg"}
     hashed = images.hashed(spark, str(folder), "phash").collect()
     assert {r["path"].rpartition("/")[2]: r["pixels"] for r in hashed} == {"a.png": 4096, "b, copy.PNG": 16384, "c.jpg": 4096, "other.bmp": 4096}
+    assert [r["path"].rpartition("/")[2] for r in images.skipped(spark, str(folder), images.hashed(spark, str(folder))).collect()] == ["broken.jpg"]
     facts = {r["path"].rpartition("/")[2]: r["pixels"] for r in images.file_facts(spark, str(folder)).collect()}
     assert facts["broken.jpg"] == -1 and facts["a.png"] == 4096
     assert [x.rpartition("/")[2] for x in images.hidden(str(folder))] == ["h.png"]
@@ -91,7 +92,7 @@ def test_index_files(spark, tmp_path):
 def test_cluster_index(spark, tmp_path):
     f = tmp_path / "hashes.csv"
     f.write_text("/t/img1.png,0\n/t/img2.png,0\n/t/img3.png,18446744073709551615\n")
-    n = engine.cluster_images(spark, str(f), str(tmp_path / "clusters.csv"), 5)
+    n = engine.cluster_images(spark, str(f), str(tmp_path / "clusters.csv"), threshold=0.92)
     assert n == {"n_clusters": 2, "n_duplicate_clusters": 1, "n_items": 3}
     assert rows(interchange.read_clusters(spark, str(tmp_path / "clusters.csv")), "path") == {("/t/img1.png",), ("/t/img2.png",)}
 
