@@ -18,7 +18,7 @@ segment of every set. Documents with equal sets are one class from the start.
    overlaps find the first kind, an index of n-grams outside the leader the second. No link is lost.
 4. A pair's overlap is counted in each fragment of the order separately, and summed per pair.
 
-Hashes have 64 bits. Defined results: null or empty texts have the empty set, link with nothing, and are
+Hashes have 64 bits, of which 48 and the number of the fragment are compared. Defined results: null or empty texts have the empty set, link with nothing, and are
 components of their own; texts of one to four words have one shingle, the whole text; rows equal in all
 columns, and rows of one doc_id, are linked as any other; a row with a null doc_id takes part under no
 id and keeps a null component; an empty table gives an empty result; further columns don't matter.
@@ -85,11 +85,28 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("rid"), rows.column("doc_id"), pa.array(size.astype(np.int64)), _signed(one), _signed(two)], ["rid", "doc_id", "n", "c", "c2"])
 
 
+def _places(n_fragments: int) -> tuple[np.uint64, np.uint64]:
+    """Width of a fragment of the order, and the lowest bits that n-grams lose when shuffled: what is left is
+    48 bits of their place in the fragment."""
+    width = (1 << 64) // n_fragments + 1
+    return np.uint64(width), np.uint64(max(0, (width - 1).bit_length() - 48))
+
+
+def _packed(places: np.ndarray) -> bytes:
+    return places.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def _segments(n_fragments: int):
-    """For each slice and fragment one row: classes, their counts, and n-grams by class."""
+    """For each slice and fragment one row: classes, their counts, and places of n-grams by class."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.uint64((1 << 64) // n_fragments + 1)
+        width, lost = _places(n_fragments)
         for batch in batches:
             for part in textscan.slices(batch.column("text"), lower=True):
                 hashes, doc = shingle_sets(part)
@@ -105,19 +122,21 @@ def _segments(n_fragments: int):
                 rows = []
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     docs, counts = np.unique(doc[lo:hi], return_counts=True)
-                    rows.append((int(at[lo]), one[docs].tobytes(), counts.astype(np.uint32).tobytes(), hashes[lo:hi].tobytes()))
+                    rows.append((int(at[lo]), one[docs].tobytes(), counts.astype(np.uint32).tobytes(), _packed((hashes[lo:hi] - np.uint64(at[lo]) * width) >> lost)))
                 if rows:
                     f, c, k, h = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(c, pa.binary()), pa.array(k, pa.binary()), pa.array(h, pa.binary())], ["f", "classes", "counts", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(c, pa.binary()), pa.array(k, pa.binary()), pa.array(h, pa.binary())], ["f", "classes", "counts", "places"])
 
     return emit
 
 
-def _shared(group: pa.Table) -> pa.Table:
+def _shared(group: pa.Table, n_fragments: int) -> pa.Table:
     """The fragment's n-grams that two or more classes hold: for each class its n-grams and in how many
     classes they are."""
-    join = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    h, c = join("hashes", np.uint64), np.repeat(join("classes", np.uint64), join("counts", np.uint32))
+    join = lambda name: b"".join(group.column(name).to_pylist())
+    width, lost = _places(n_fragments)
+    h = (_unpacked(join("places")) << lost) + np.uint64(group.column("f")[0].as_py()) * width
+    c = np.repeat(np.frombuffer(join("classes"), np.uint64), np.frombuffer(join("counts"), np.uint32))
     order = np.argsort(h, kind="stable")
     h, c = h[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -220,8 +239,8 @@ def class_links(docs: DataFrame, profile: DataFrame) -> DataFrame:
     sizes = profile.where("n > 0").groupBy("c").agg(F.first("n").alias("n"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     n_fragments = max(32, -(-total // FRAGMENT))
-    emitted = docs.select("text").mapInArrow(_segments(n_fragments), "f int, classes binary, counts binary, hashes binary")
-    shared = emitted.groupBy("f").applyInArrow(_shared, "c long, k long, h binary, held binary")
+    emitted = docs.select("text").mapInArrow(_segments(n_fragments), "f int, classes binary, counts binary, places binary")
+    shared = emitted.groupBy("f").applyInArrow(lambda group: _shared(group, n_fragments), "c long, k long, h binary, held binary")
     held = shared.groupBy("c").agg(F.sum("k").alias("k"), F.collect_list(F.struct("h", "held")).alias("pieces")).join(sizes, "c")
     left = cut(held.where(100 * F.col("k") >= PERCENT * F.col("n")).mapInArrow(_ordered, "c long, n long, k long, rank double, prefix array<long>, segments array<binary>"))
     segments = left.select("c", F.posexplode("segments").alias("f", "s"))
