@@ -35,7 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
 def words(text: str | Column) -> Column:
     """Array of the text's words; null and empty texts have none."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE), lambda w: w != "")
+    inner = F.btrim(F.coalesce(col, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def n_words(text: str | Column) -> Column:
