@@ -14,21 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookalike.llm import mixing, ngram_join, pieces, repeats, toxicity
-from lookalike.llm.common import cut, table
+from lookalike.llm.common import ARROW_ROWS, cut, table
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have ARROW_ROWS rows at most from here on: texts are long, and batches lie outside
+    the executors' heaps. Stages run after they return, so the setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text isn't predicted toxic."""
+    short_batches(spark)
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of shingle sets with a Jaccard similarity of 0.8 or more."""
+    short_batches(spark)
     return ngram_join.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that one with a smaller doc_id has."""
+    short_batches(spark)
     return repeats.without_repeats(docs)
 
 
@@ -39,6 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids) of every copy, in the order of the mix."""
+    short_batches(spark)
     rows = pieces.encode(docs, keep=("doc_id", "lang", "source"))
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
