@@ -39,8 +39,9 @@ MAX_WORDS = 1_024
 #: Least likelihood-ratio statistic of a vocabulary word, and least number of examples that have it. The
 #: statistic must also reach twice the log of the number of words tested, less CHANCE.
 LEAST_G2, LEAST_DF, CHANCE = 15.0, 4, 4.0
-#: A vocabulary word's share of toxic examples is at least so many times its share of all: a word that most
-#: texts have says little, and would make every text near many examples.
+#: The share of toxic examples with a vocabulary word is at least so many times the share of clean ones with it,
+#: whatever the balance of the labels: a word that most texts have says little, and would make every text near
+#: many examples.
 LIFT = 2.0
 #: Scores that a worker remembers; many texts have the same few vocabulary words.
 REMEMBER = 50_000
@@ -238,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         share = (k1 + k2) / (n1 + n2)
         statistic = 2.0 * (cell(k1, n1, share) + cell(k2, n2, share) + cell(n1 - k1, n1, 1.0 - share) + cell(n2 - k2, n2, 1.0 - share))
         least = max(LEAST_G2, 2.0 * float(np.log(max(1, by_word.count()))) - CHANCE)
-        chosen = by_word.withColumn("g2", statistic).where((F.col("g2") >= least) & (k1 >= LIFT * n1 * share)).orderBy(F.desc("g2"), "word").limit(MAX_WORDS)
+        chosen = by_word.withColumn("g2", statistic).where((F.col("g2") >= least) & (k1 * n2 >= LIFT * k2 * n1)).orderBy(F.desc("g2"), "word").limit(MAX_WORDS)
         words = np.sort(np.array([r["word"] for r in chosen.select("word").collect()], np.int64).view(np.uint64))
         terms = {int(w): i for i, w in enumerate(words.view(np.int64))}
         hits = found.where(F.col("word").isin(list(terms))).select("doc_id", "toxic", "word", "n").collect() if terms else []

@@ -292,6 +292,23 @@ def test_toxicity(spark):
     assert sorted(map(key, [r[:4] for r in flipped])) == sorted(map(key, [r[:4] for r in got]))
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.6, 0.9])
+def test_toxicity_at_any_balance(spark, share):
+    rng = random.Random(7)
+    rows, marks = [], []
+    for i in range(600):
+        toxic = rng.random() < share
+        own = rng.sample(["vile", "nasty", "scum"], 2) if rng.random() < (0.95 if toxic else 0.05) else []
+        rows.append((i, " ".join(rng.choices(["the", "river", "house", "green"], k=20) + own), "en", "s", 1))
+        marks.append((i, 1, int(toxic)))
+    got = toxicity.scored(frame(spark, rows), labels(spark, marks)).collect()
+    held = [(r["predicted"], marks[r["doc_id"]][2], len(r["neighbours"])) for r in got if r["held_out"]]
+    assert len(held) > 60 and np.mean([p == t for p, t, _ in held]) > 0.85
+    assert any(n for _, _, n in held) and {p for p, _, _ in held} == {0, 1}
+    kept = {r["doc_id"] for r in toxicity.clean(frame(spark, rows), labels(spark, marks)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in got if not r["predicted"]}
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
