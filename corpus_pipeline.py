@@ -1,7 +1,8 @@
 """From raw documents to training ids: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. ``run`` writes each stage's rows to the shared folder and reads them for the next.
+``documents``. ``run`` writes each stage's rows to the shared folder and reads them for the next; as the
+order of rows doesn't outlast that, it has the mix give each copy's training position, and returns it.
 
 Defined results follow from the operators': an empty table gives an empty result; null and empty texts
 pass the first three stages, take no words of the mix and so have no ids; rows equal in doc_id and text
@@ -17,6 +18,10 @@ from lookalike.llm import mixing, ngram_join, pieces, repeats, toxicity
 from lookalike.llm.common import ARROW_ROWS, cut, table
 
 
+#: Column of the training position in what ``run`` returns.
+POSITION = "position"
+
+
 def short_batches(spark: SparkSession) -> None:
     """Let Arrow batches have ARROW_ROWS rows at most from here on: texts are long, and batches lie outside
     the executors' heaps. Stages run after they return, so the setting stays."""
@@ -43,16 +48,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return repeats.without_repeats(docs)
 
 
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str, position_column: str | None = None) -> DataFrame:
     """Copies of documents in training order, each source at its target."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, position_column=position_column)
 
 
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids) of every copy, in the order of the mix."""
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str, position_column: str | None = None) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids) of every copy, and its training position if its column is named."""
     short_batches(spark)
-    rows = pieces.encode(docs, keep=("doc_id", "lang", "source"))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    placed = [] if position_column is None else [position_column]
+    rows = pieces.encode(docs, keep=("doc_id", "lang", "source", *placed))
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", *placed)
 
 
 STAGES = [
@@ -70,7 +76,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        if stage is source_mix:
+            docs = source_mix(spark, docs.drop(POSITION), sf_dir, POSITION)
+        elif stage is encode_pieces:
+            docs = encode_pieces(spark, docs, sf_dir, POSITION)
+        else:
+            docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs)
     return docs

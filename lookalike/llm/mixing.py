@@ -28,6 +28,8 @@ from .common import n_words, words
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
+#: A source's weight runs linearly from 1 - r to 1 + r over training time, with r in [-MAX_RAMP, MAX_RAMP].
+MAX_RAMP = 0.5
 
 
 def targets(per_source: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -80,15 +82,6 @@ def _taken(epoch: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("_size"), F.round("target").cast("long") - start))
 
 
-def takings(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document; taken counts repeats."""
-    total = _taken(F.lit(0))
-    for epoch in range(1, MAX_REPEATS):
-        total = total + _taken(F.lit(epoch))
-    rows = _tape(docs.select("doc_id", "text", "source"))
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", total.cast("long").alias("taken"))
-
-
 def position(share: Column, ramp: Column) -> Column:
     """Training time at which a source has used ``share`` of its target, where its weight runs
     linearly from 1 - ramp to 1 + ramp: the inverse of D(t) = (1 - ramp) t + ramp t^2 on [0, 1]."""
@@ -96,17 +89,38 @@ def position(share: Column, ramp: Column) -> Column:
     return F.when(F.abs(ramp) < 1e-9, share).otherwise((-a + F.sqrt(a * a + 4.0 * ramp * share)) / (2.0 * ramp))
 
 
-def mix(docs: DataFrame, max_ramp: float = 0.5) -> DataFrame:
+def _copies(tape: DataFrame, max_ramp: float) -> DataFrame:
+    """Add ``_copies``: (take, at, epoch) of every copy taken of a document, at being its training position."""
+    # the name of a source is hashed without the mark that _tape puts in front
+    pct = F.pmod(F.xxhash64(F.when(F.col("_s") != "", F.substring("_s", 2, 1 << 30))), F.lit(201)).cast("double") / 100.0 - 1.0
+
+    def copy(epoch: Column) -> Column:
+        share = (F.col("_offset") + epoch * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))
+        return F.struct(_taken(epoch).alias("take"), position(F.least(share, F.lit(1.0)), pct * max_ramp).alias("at"), epoch.alias("epoch"))
+
+    every = F.array(*[copy(F.lit(epoch)) for epoch in range(MAX_REPEATS)])
+    return tape.withColumn("_copies", F.filter(every, lambda x: x["take"] > 0))
+
+
+def takings(docs: DataFrame, max_ramp: float = MAX_RAMP) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document, in order of the training position of
+    its first copy, documents without one last; taken is the sum over the copies that ``mix`` deals."""
+    rows = _copies(_tape(docs.select("doc_id", "text", "source")), max_ramp)
+    taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda n, x: n + x["take"])
+    first = F.coalesce(F.get("_copies", F.lit(0))["at"], F.lit(2.0))  # positions are at most 1
+    rows = rows.select("doc_id", F.col("_size").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), first.alias("_first"), "_h")
+    return rows.repartitionByRange("_first", "_h").sortWithinPartitions("_first", "_h").drop("_first", "_h")
+
+
+def mix(docs: DataFrame, max_ramp: float = MAX_RAMP, position_column: str | None = None) -> DataFrame:
     """The mixed documents in training order, with the columns of ``docs``: one row for every copy
     taken. Each source's schedule is a ramp in [-max_ramp, max_ramp] set by a hash of its name, so
-    some sources come early and others late, while every target is met at the end."""
+    some sources come early and others late, while every target is met at the end. A table written and
+    read again loses the order of its rows; ``position_column`` names a further column that keeps it."""
     columns = docs.columns
-    pct = F.pmod(F.xxhash64("source"), F.lit(201)).cast("double") / 100.0 - 1.0
     # other columns ride along in a struct, so none can clash with a name used here
     own = _tape(docs.select("doc_id", "text", "source", F.struct(*[c for c in columns if c != "text"]).alias("_row")))
-    copies = own.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)))).withColumn("_take", _taken(F.col("_epoch"))).where("_take > 0")
-    share = (F.col("_offset") + F.col("_epoch") * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))
-    copies = copies.withColumn("_at", position(F.least(share, F.lit(1.0)), pct * max_ramp))
+    copies = _copies(own, max_ramp).withColumn("_copy", F.explode("_copies")).withColumns({"_take": F.col("_copy")["take"], "_at": F.col("_copy")["at"], "_epoch": F.col("_copy")["epoch"]}).drop("_copies", "_copy")
     whole = F.col("_take") == F.col("_size")
     head = F.concat_ws(" ", F.slice(words("text"), F.lit(1), F.col("_take").cast("int")))
     copies = copies.withColumn("_text", F.when(whole, F.col("text")).otherwise(head))
@@ -114,4 +128,5 @@ def mix(docs: DataFrame, max_ramp: float = 0.5) -> DataFrame:
     value = {c: F.col("_row")[c] for c in columns if c != "text"} | {"text": F.col("_text")}
     if "n_chars" in columns:
         value["n_chars"] = F.when(whole, F.col("_row")["n_chars"]).otherwise(F.length("_text").cast("long"))
-    return copies.select(*[value[c].alias(c) for c in columns])
+    placed = [] if position_column is None else [F.col("_at").alias(position_column)]
+    return copies.select(*[value[c].alias(c) for c in columns], *placed)

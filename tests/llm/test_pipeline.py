@@ -33,3 +33,13 @@ def test_stages(spark, tmp_path):
     again = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert Counter((r[0], tuple(r[4])) for r in again) == Counter((r[0], tuple(r[4])) for r in ids)
     assert toxicity.FOLDS == 5
+
+
+def test_run_keeps_the_training_order(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(12 + i % 9)), "en", f"s{i % 3}", 1) for i in range(60)]
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = corpus_pipeline.mixing.mix(spark.createDataFrame(rows, DOCS), position_column="position").collect()
+    assert Counter((r["doc_id"], r["position"]) for r in got) == Counter((r["doc_id"], r["position"]) for r in want)
+    assert len({r["position"] for r in got}) > 50

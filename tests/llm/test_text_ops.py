@@ -129,6 +129,27 @@ def test_positions():
     assert mixing.position(F.lit(0.5), F.lit(0.0)) is not None
 
 
+def test_positions_follow_the_schedule(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"w{i} " * (5 + i % 40), "en", f"s{i % 4}", 1) for i in range(200)]
+    docs = frame(spark, rows)
+    copies = mixing.mix(docs, position_column="place").collect()
+    assert [r["place"] for r in copies] == sorted(r["place"] for r in copies)
+    ramps = {r["source"]: r["ramp"] for r in docs.select("source", ((F.pmod(F.xxhash64("source"), F.lit(201)) / 100.0 - 1.0) * mixing.MAX_RAMP).alias("ramp")).distinct().collect()}
+    taken = mixing.takings(docs).collect()
+    target = {f"s{r['doc_id'] % 4}": r["target"] for r in taken}
+    before, first = Counter(), {}
+    for r in copies:
+        grid = np.linspace(0, r["place"], 2001)
+        weight = 1 - ramps[r["source"]] + 2 * ramps[r["source"]] * grid
+        assert np.trapezoid(weight, grid) * target[r["source"]] == pytest.approx(before[r["source"]], abs=1e-3)
+        before[r["source"]] += len(words(r["text"]))
+        first.setdefault(r["doc_id"], r["place"])
+    order = [first.get(r["doc_id"], 2.0) for r in taken]
+    assert len(first) > 100 and order == sorted(order)
+
+
 # -- quality -------------------------------------------------------------------------------------
 
 
