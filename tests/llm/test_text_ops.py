@@ -187,6 +187,30 @@ def test_quality_verdict(spark):
     assert all(r["llr"] == 0 for r in none)
 
 
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_BUCKETS", 1 << 10)
+
+    def dropped(n):
+        rng = random.Random(n)
+        good = [" ".join(f"g{rng.randrange(8 * n)}" for _ in range(40)) for _ in range(n)]
+        bad = [" ".join(f"b{rng.randrange(8)}" for _ in range(40)) for _ in range(n // 10)]
+        rows = [(i, t, "en", "s", 1) for i, t in enumerate(good + bad)]
+        got = quality.measures(frame(spark, rows), labels(spark, [(i, 1, 0) for i in range(0, n, 2)])).collect()
+        return quality.n_buckets(frame(spark, rows)), np.mean([r["llr"] < quality.THRESHOLD for r in got if r["doc_id"] >= n])
+
+    (few, small), (many, large) = dropped(100), dropped(6000)
+    assert many >= 2 * few and small == large == 1
+
+
+def test_joined_weights_equal_the_array(spark, monkeypatch):
+    rows = documents()
+    want = quality.measures(frame(spark, rows), labels(spark)).collect()
+    monkeypatch.setattr(quality, "MAX_ARRAY", 0)
+    got = quality.measures(frame(spark, rows), labels(spark)).collect()
+    tidy = lambda rs: sorted(key((r["doc_id"], r["n_words"], r["n_repeat_words"], r["kept"], round(r["llr"], 9) + 0.0)) for r in rs)
+    assert tidy(got) == tidy(want) and any(r["llr"] for r in got)
+
+
 # -- near duplicates -------------------------------------------------------------------------------
 
 
