@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import stage_table
 
-__all__ = ["SPACE", "WORD", "cut", "fresh", "n_words", "table", "words"]
+__all__ = ["SPACE", "WORD", "cut", "fresh", "hot_join", "n_words", "row_id", "table", "words"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,6 +45,30 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key is hot where it has more than this share of all rows, and at least so many; so there are at most
+#: 1 / HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 1e-3, 1_024
+
+
+def hot_join(many: DataFrame, few: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``many`` with ``few`` on ``key``. ``few`` has one row for each key, with the number of rows
+    that ``many`` has of it. The at most 1 / HOT_SHARE rows of hot keys are broadcast, so that rows of one
+    key stay spread as they are; all other keys are dealt by hash. Both sides should be written tables."""
+    total = few.agg(F.sum(count)).first()[0] or 0
+    bound = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = few.where(F.col(count) > bound)
+    if not hot.limit(1).count():
+        return many.join(few, key)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(few.where(F.col(count) <= bound), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def row_id(*columns: str) -> Column:
+    """128 bits that stand for a row's values; null differs from every value."""
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat_ws("|", *marked)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lookalike.llm import mixing, ngram_join, pieces, quality, repeats, textscan, token_counts, toxicity
-from tests.llm.cases import CLASHES, DOCS, documents, frame, labels
+from tests.llm.cases import CLASHES, DOCS, documents, frame, labels, text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -300,6 +300,86 @@ def test_repeats(spark):
     assert left == Counter((r[0], r[4]) for r in want if not (r[2] and r[2] == r[1]))
 
 
+def thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_no_two_texts_are_taken_for_one(spark):
+    """Words and texts on which a polynomial modulo 2^64 collides, whatever its base."""
+    letters = ["".join(thue_morse(n, *x)) for n in (1024, 4096) for x in (("a", "b"), ("b", "a"))]
+    scanned = [p.hashes for p in textscan.slices(pa.array(letters))]
+    assert len(np.unique(np.concatenate(scanned))) == 4
+    texts = [" ".join(thue_morse(4096, *x)) for x in (("one", "two"), ("two", "one"))]
+    filler = [" ".join(f"v{k}" for k in range(60))]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*texts, *filler, *(f"{w} {filler[0]}" for w in letters), *(f"{w} {w} {w} {w} {w}" for w in letters)])]
+    assert sorted(map(key, map(tuple, repeats.removals(frame(spark, rows)).collect()))) == sorted(key(r[:4]) for r in brute_repeats(rows))
+    sets, groups = brute_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.grouped(frame(spark, rows)).collect()}
+    assert got == {i: min(g) for g in groups for i in g}
+
+
+def test_extension_meets_every_earlier_document(spark):
+    """Passages that the representative of their anchors lacks, has with other surroundings, or has twice."""
+    rng = random.Random(5)
+    parts = [text(rng, 60) for _ in range(6)]
+    cut_ = lambda t, a, b: " ".join(t.split(" ")[a:b])
+    texts = [f"{cut_(parts[0], 20, 60)} x {cut_(parts[0], 0, 40)}", parts[0], f"y {parts[0]} z", f"{parts[1]} a {parts[1]} b", f"q {parts[1]} a", cut_(parts[1], 5, 60) + " a " + cut_(parts[1], 0, 30)]
+    texts += [f"{parts[2]} {parts[3]}", f"{parts[3]} {parts[2]}", cut_(parts[2], 30, 60) + " " + parts[3] + " " + cut_(parts[2], 0, 30), *(cut_(parts[4], i, i + 52) for i in range(9)), *(f"{w} {parts[5]}" for w in "abcdefgh")]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(0, parts[0], "en", "s", 1)]
+    want = brute_repeats(rows)
+    assert sum(r[2] > 0 for r in want) > 12
+    assert sorted(map(key, map(tuple, repeats.removals(frame(spark, rows)).collect()))) == sorted(key(r[:4]) for r in want)
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Hot anchors, windows, lists and n-grams give what all others do."""
+    from lookalike.llm import common
+
+    rng = random.Random(9)
+    two = [text(rng, 70), text(rng, 80)]
+    texts = [f"{two[i % 2]} {text(rng, 8)} {two[1 - i % 2] if i % 3 else ''} w{i}" for i in range(90)]
+    rows = documents() + [(i + 10_000, t, "en", "s", 1) for i, t in enumerate(texts)]
+    for name, value in (("HOT_ROWS", 2), ("HOT_SHARE", 0.0)):
+        monkeypatch.setattr(common, name, value)
+    got = ngram_join.grouped(frame(spark, rows)).collect()
+    sets, groups = brute_components(rows)
+    want = {}
+    for g in groups:
+        for i in g:
+            want.setdefault(rows[i][0], set()).add(min(rows[j][0] for j in g if rows[j][0] is not None) if rows[i][0] is not None and sets[i] else rows[i][0])
+    assert all(r["component_id"] in want[r["doc_id"]] for r in got)
+    assert sorted(map(key, map(tuple, repeats.removals(frame(spark, rows)).collect()))) == sorted(key(r[:4]) for r in brute_repeats(rows))
+
+
+def test_frequent_ngrams():
+    frequent = ngram_join.Frequent()
+    common = np.arange(1, 40, dtype=np.uint64) * textscan.GOLDEN
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        frequent.add(np.concatenate([common, rng.integers(0, 2**63, 500).astype(np.uint64)]))
+    grams, counts = frequent.rows()
+    assert set(common) <= set(grams) and len(grams) < 200 and counts.min() >= ngram_join.TASK_HOT // 2
+
+
+def test_known_ngrams_pass_the_fragments(spark, monkeypatch):
+    """Components don't depend on which n-grams are known to be frequent."""
+    rows = documents()
+    want = sorted(map(key, map(tuple, ngram_join.grouped(frame(spark, rows)).collect())))
+
+    def profile_rows(docs, profile, inner=ngram_join.class_links):
+        from pyspark.sql import functions as F
+
+        sets = set()
+        for part in textscan.slices(pa.array([r[1] for r in rows]), lower=True):
+            sets |= set(ngram_join.shingle_sets(part)[0].view(np.int64).tolist())
+        some = sorted(sets)[::3]
+        extra = spark.createDataFrame([(None, None, 50, g, 0) for g in some], profile.schema)
+        return inner(docs, profile.where(F.col("rid").isNotNull()).unionByName(extra))
+
+    monkeypatch.setattr(ngram_join, "class_links", profile_rows)
+    assert sorted(map(key, map(tuple, ngram_join.grouped(frame(spark, rows)).collect()))) == want
+
+
 # -- toxicity --------------------------------------------------------------------------------------
 
 
