@@ -434,21 +434,76 @@ def test_toxicity_at_any_balance(spark, share):
     assert kept == {r["doc_id"] for r in got if not r["predicted"]}
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
     rng = np.random.default_rng(3)
-    vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(40, rng.integers(1, 7), replace=False))
-        w = rng.random(len(t))
-        vectors.append((t, w / np.linalg.norm(w)))
-    index = toxicity.Index(np.arange(40, dtype=np.uint64), np.ones(40), (np.arange(500) % 2).astype(float), np.arange(500), vectors, np.ones(500), 0.1)
-    dense = np.zeros((500, 40))
-    for i, (t, w) in enumerate(index.vectors):
-        dense[i, t] = w
-    for t, w in vectors[:80]:
-        at, near = index.search(t, w)
-        every = dense[:, t] @ w
-        assert np.allclose(near, np.sort(every[every > 0])[::-1][: toxicity.K]) and np.allclose(every[at], near)
+    for dense in (0, 5, 60):
+        monkeypatch.setattr(toxicity, "DENSE", dense)
+        example, term, weight = [], [], []
+        for i in range(1500):
+            t = np.sort(rng.choice(60, rng.integers(1, 9), replace=False, p=np.arange(1, 61) / 1830))
+            w = rng.random(len(t))
+            example.append(np.full(len(t), i)), term.append(t), weight.append(w / np.linalg.norm(w))
+        index = toxicity.Index(np.arange(60, dtype=np.uint64), np.ones(60), np.arange(1500) % 2, np.arange(1500), *map(np.concatenate, (example, term, weight)))
+        rows = np.zeros((1500, 60))
+        for i, (t, w) in enumerate(zip(term, weight, strict=True)):
+            rows[i, t] = w
+        rows = rows[index.ids]  # the index has an order of its own
+        for t, w in zip(term[:80], weight[:80], strict=True):
+            at, near = index.search(t, w)
+            every = rows[:, t] @ w
+            assert np.allclose(near, np.sort(every[every > 0])[::-1][: toxicity.K]) and np.allclose(every[at], near)
+
+
+def brute_toxicity(rows, marks):
+    """(vote, ids of the neighbours, similarities) of each row, by dictionaries."""
+    import math
+
+    bag = lambda t: Counter(x for x in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(LOWER)) if x)
+    toxic = {}
+    for i, _, t in marks:
+        if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+            toxic[i] = max(t, toxic.get(i, 0))
+    known = [(i, toxic[i], bag(t)) for i, t in dict.fromkeys((r[0], r[1]) for r in rows) if i in toxic]
+    vocabulary = set().union(*(b for _, _, b in known))
+    df = Counter(w for r in rows for w in set(bag(r[1])) & vocabulary)
+    n1, n = sum(t for _, t, _ in known), len(known)
+    factor = {}
+    for w in vocabulary:
+        k1, k = sum(t for _, t, b in known if w in b), sum(w in b for _, _, b in known)
+        g2 = 0.0
+        for seen, expected in ((k1, n1 * k / n), (k - k1, (n - n1) * k / n), (n1 - k1, n1 * (n - k) / n), (n - n1 - k + k1, (n - n1) * (n - k) / n)):
+            g2 += 2 * seen * math.log(seen / expected) if seen else 0.0
+        root = math.sqrt(max(0.0, g2)) if k1 * (n - n1) > (k - k1) * n1 else 0.0
+        factor[w] = (math.log((1 + len(rows)) / (1 + df[w])) + 1) * (1 + max(0.0, root - math.sqrt(2 * math.log(len(vocabulary)))))
+
+    def unit(b):
+        v = {w: (1 + math.log(c)) * factor[w] for w, c in b.items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [(i, t, unit(b)) for i, t, b in known]
+    out = []
+    for r in rows:
+        mine = unit(bag(r[1]))
+        near = sorted(((-sum(x * v.get(w, 0.0) for w, x in mine.items()), i, t) for i, t, v in vectors))[: toxicity.K]
+        near = [(-s, i, t) for s, i, t in near if s < 0]
+        by = [(s / (1.02 - min(s, 1.0)), t) for s, _, t in near]
+        out.append(((sum(w * t for w, t in by) + toxicity.PRIOR_WEIGHT * n1 / n) / (sum(w for w, _ in by) + toxicity.PRIOR_WEIGHT), [i for _, i, _ in near], [s for s, _, _ in near]))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    made, marks = toxic_rows(220)
+    rows = [r for r in made for _ in range(2)] + [(3, made[9][1], "en", "s", 1), (None, made[1][1], "en", "s", 1), (9000, "", "en", "s", 1), (9001, None, "en", "s", 1), (9002, "unseen words", "en", "s", 1), (9003, made[4][1] + " \u00e9t\u00e9", "en", "s", 1)]
+    docs, given = frame(spark, rows), labels(spark, [*marks, (4, 1, 1), (4, 1, None)])
+    index = toxicity.fit(docs, given)
+    got = defaultdict(list)
+    for r in toxicity.scored(docs, given).collect():
+        got[r["doc_id"]].append((r["score"], sorted(r["similarities"], reverse=True)))
+    for r, (vote, ids, near) in zip(rows, brute_toxicity(rows, [*marks, (4, 1, 1)]), strict=True):
+        want = index._scored(vote, np.zeros(0, int), np.zeros(0))[0]
+        assert any(s == pytest.approx(want, abs=1e-6) and x == pytest.approx(near, abs=1e-9) for s, x in got[r[0]]), (r[0], want, got[r[0]])
+    assert len({s for i in range(220) if i != 3 for s, _ in got[i]}) > 50 and all(len({s for s, _ in got[i]}) == 1 for i in range(220) if i != 3)
 
 
 @pytest.mark.parametrize("marks", [[], [(1, 1, 1)], [(1, 1, 0)], [(1, 1, 0), (2, 1, 1), (3, 1, None)]])
