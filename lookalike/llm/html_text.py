@@ -3,19 +3,23 @@
 The standard library's parser streams events. A line is the text between two block-level boundaries;
 its ratio is the number of its characters for each tag met in it. The lines' ratios are smoothed with
 a Gaussian window and split by a threshold into two clusters. Lines of the upper cluster are the core
-of the content; the regions (the article or main element, else the innermost division) that hold the
-core are kept with their short lines too, as a heading or a one-word paragraph has a low ratio wherever
-it stands. Text in elements that never hold content (scripts, styles, forms, menus, footers, asides) or
-whose class, id or role names such a part counts in the ratios but is in neither core nor regions.
+of the content. Regions are articles (article or main elements) or, in pages without one, innermost divisions;
+a region is kept, with its short lines too, where the core has a good share of its own text, as a heading or a
+one-word paragraph has a low ratio wherever it stands. An article is kept where it has any core, and all are if
+none has. Text in elements that never hold content (scripts, styles, forms, menus, footers, asides) or
+whose class, id or role is the name of such a part counts in the ratios but is in neither core nor regions. A
+name counts if each of its parts names or places such a part, as in ``left-sidebar`` or ``comment-list``;
+``has-sidebar``, ``share-price`` or ``tag-politics`` don't.
 
 Defined results: null and empty pages give an empty text; a page without any markup gives its text; a
-page whose lines are all set aside gives an empty text; unclosed elements end with their parent; rows
-equal in all columns give equal results; further columns don't matter.
+page whose lines are all set aside gives an empty text; unclosed elements end with their parent; declarations
+that no standard knows are comments; rows equal in all columns give equal results; further columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,17 +34,34 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is never content.
 ASIDE = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe svg canvas object audio video dialog menu".split())
 ENDED_BY = {"p": BLOCKS - {"br", "html", "body"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|comments?|respond|replies|disqus|skip|hidden|toolbar|pagination|pager|tags?|legal|copyright)(?:$|[\s_-])", re.I)
-#: Inside an article a header is the article's own.
-NOT_IN_ARTICLE = re.compile(NOT_CONTENT.pattern.replace("|footer|header|masthead", "|footer").replace("|tags?|legal", ""), re.I)
+#: Names of parts that are not content, and words that only place or shape such a part.
+NOT_CONTENT = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets comment comments respond replies disqus skip hidden toolbar pagination pager tag tags legal copyright".split()
+)
+PLACING = frozenset("area article bar block body bottom box button buttons col column container entry global group holder inner item items left link links list main outer page panel post posts primary reader region right row secondary section site slot story sub text thread top unit user wrap wrapper".split())
+#: Inside an article these are the article's own.
+OWN = frozenset("header masthead tag tags legal".split())
 #: Elements that are regions of their own outside articles.
 DIVISIONS = frozenset("body div section table td dl details fieldset".split())
-#: A region is kept where its core has this share of the largest region's core.
-REGION_SHARE = 0.25
+#: A region is kept where its core has this share of its text.
+REGION_SHARE = 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 WHITE = re.compile(r"\s+")
 
 
+NAME_PARTS = re.compile(r"[A-Za-z]+")
+
+
+def names_no_content(value: str, in_article: bool) -> bool:
+    """Whether one of the names in a class or id attribute stands for a part that is not content."""
+    for name in value.lower().split():
+        parts = NAME_PARTS.findall(name)
+        own = [x for x in parts if x in NOT_CONTENT and not (in_article and x in OWN)]
+        if own and all(x in NOT_CONTENT or x in PLACING or len(x) == 1 for x in parts):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Collects lines as (text, tags, region); region 0 is text that is set aside."""
 
@@ -50,6 +71,8 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool]] = []
         self.text: list[str] = []
         self.regions, self.last = [1], 1
+        self.article_regions: set[int] = set()
+        self.n_open: Counter[str] = Counter()
         self.tags = self.off = self.articles = 0
 
     def _end_line(self) -> None:
@@ -62,6 +85,7 @@ class Lines(HTMLParser):
 
     def _pop(self) -> None:
         tag, off, article = self.open.pop()
+        self.n_open[tag] -= 1
         self.off -= off
         self.articles -= article
         if article or tag in DIVISIONS and not self.articles:
@@ -73,7 +97,7 @@ class Lines(HTMLParser):
         self.tags += 1
         while self.open and tag in ENDED_BY.get(self.open[-1][0], ()):
             self._pop()
-        if tag == "p":  # a paragraph ends an open one, whatever inline elements are still open in it
+        if tag == "p" and self.n_open["p"]:  # a paragraph ends an open one, whatever inline elements are still open in it
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == "p":
                     while len(self.open) > k:
@@ -89,7 +113,7 @@ class Lines(HTMLParser):
                 if not value:
                     off = off or name == "hidden"
                 elif name in ("class", "id"):
-                    off = off or tag not in ("html", "body", "article", "main") and bool((NOT_CONTENT if not self.articles else NOT_IN_ARTICLE).search(value))
+                    off = off or tag not in ("html", "body", "article", "main") and names_no_content(value, self.articles > 0)
                 elif name == "role":
                     off = off or value.lower() in ROLES
                 elif name == "aria-hidden":
@@ -98,9 +122,12 @@ class Lines(HTMLParser):
             off = True
         article = tag in ("article", "main") and not off
         self.open.append((tag, off, article))
+        self.n_open[tag] += 1
         if article and not self.articles or not article and tag in DIVISIONS and not self.articles:
             self.last += 1
             self.regions.append(self.last)
+            if article:
+                self.article_regions.add(self.last)
         elif article:
             self.regions.append(self.regions[-1])
         self.off += off
@@ -115,6 +142,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
+        if not self.n_open[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
@@ -127,6 +156,15 @@ class Lines(HTMLParser):
         if not self.dropped():
             self.text.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # a keyword that no standard knows
+            return self.parse_bogus_comment(i)
+
+    def unknown_decl(self, data):
+        pass
+
     def dropped(self) -> bool:
         return bool(self.open) and self.open[-1][0] in ("script", "style", "noscript", "template", "title", "option", "textarea")
 
@@ -171,12 +209,16 @@ def main_text(html: str | None) -> str:
         return ""
     soft = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
     limit = threshold(soft)
-    core: dict[int, int] = {}
+    core, size = Counter(), Counter()
     for (text, _, region), value in zip(lines, soft, strict=True):
         if region:
-            core[region] = core.get(region, 0) + len(text) * (value > limit)
-    most = max(core.values(), default=0)
-    return " ".join(text for text, _, region in lines if region and core[region] >= REGION_SHARE * most)
+            core[region] += len(text) * bool(value > limit)
+            size[region] += len(text)
+    if articles := [x for x in size if x in parser.article_regions]:
+        kept = {x for x in articles if core[x]} or set(articles)
+    else:
+        kept = {x for x in size if core[x] >= REGION_SHARE * size[x]} or {x for x in size if core[x] == max(core.values())}
+    return " ".join(text for text, _, region in lines if region in kept)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

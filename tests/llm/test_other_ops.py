@@ -31,6 +31,41 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "content no-sidebar", "single share-price", "post tag-politics", "header-image-story", "adventure"])
+def test_names_that_only_mention_other_parts(name):
+    assert html_text.main_text(page(f"<div class='{name}'><p>{LONG}</p></div>")) == LONG.strip()
+    assert html_text.main_text(page(f"<div id='x' class='{name}'><article><p>{LONG}</p></article></div>")) == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-300x250", "left-sidebar", "site_footer", "comment-list", "comments", "article-comments", "cookie-notice", "Related", "wide share-buttons"])
+def test_names_of_other_parts(name):
+    assert html_text.main_text(page(f"<div class='{name}'><p>{LONG}</p></div><div class='story'><p>{LONG}</p></div>")) == LONG.strip()
+
+
+def test_clustering_chooses_regions(monkeypatch):
+    links = "<ul>" + "".join(f"<li><a href='{i}'>see {i}</a>" for i in range(30)) + "</ul>"
+    html = page(f"<div class='x1'>{links}</div><div class='x2'><p>{LONG}</p><p>{LONG}</p><p>Short.</p></div><div class='x3'>{links}</div>")
+    assert html_text.main_text(html) == f"{LONG}{LONG}Short."
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)
+    assert "see 1" in html_text.main_text(html)
+
+
+def test_a_short_article_beside_a_long_one():
+    html = page(f"<article><p>{LONG * 5}</p></article><article><p>{LONG}</p></article>")
+    assert html_text.main_text(html) == (LONG * 6).strip()
+
+
+def test_broken_markup():
+    import time
+
+    start = time.time()
+    for broken in ("<![foo[x]]>", "<![", "<!x", "<?", "</", "<![if x]>", "<![cdata[z]]>"):
+        assert "Words of the article" in html_text.main_text(f"<p>{LONG}</p>{broken}<p>{LONG}</p>")
+    assert html_text.main_text("<b>" * 100_000 + "x" + "</i>" * 100_000 + LONG) == ("x" + LONG).strip()
+    assert html_text.main_text("<p>" * 100_000 + LONG) == LONG.strip()
+    assert time.time() - start < 30
+
+
 def test_smoothing():
     flat = np.full(20, 5.0)
     assert np.allclose(html_text.smoothed(flat), flat) and html_text.threshold(flat) < 5
