@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..plans import stage_table
 
-__all__ = ["SPACE", "WORD", "cut", "fresh", "hot_join", "n_words", "row_id", "table", "words"]
+__all__ = ["FOLDS", "WORD", "cut", "fresh", "held_out", "hot_join", "n_words", "row_id", "table", "words"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
+
+FOLDS = 5
 
 #: Rows of an Arrow batch while a table is written between steps: texts are long, and the batches of all tasks
 #: of an executor lie outside its heap.
@@ -33,10 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def words(text: str | Column) -> Column:
-    """Array of the text's words; null and empty texts have none."""
-    col = F.col(text) if isinstance(text, str) else text
-    inner = F.btrim(F.coalesce(col, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
+    """Array of the text's words; null and empty texts have none. Splitting at single spaces needs no regular
+    expression, so other white space becomes spaces first, and empty pieces between spaces go afterwards."""
+    col = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        col = F.replace(col, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(col, " "), "")
 
 
 def n_words(text: str | Column) -> Column:
@@ -69,6 +72,12 @@ def row_id(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("|", *marked)))
 
 
+def held_out(doc_id: str | Column) -> Column:
+    """Whether a row's label is never learned from: crc32 of its doc_id as text, modulo FOLDS, is 0."""
+    col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(F.crc32(col.cast("string")) % FOLDS == 0, F.lit(False))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

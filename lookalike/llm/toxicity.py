@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import held_out
 
 MAX_EXAMPLES = 4_000
 #: Scores that a worker remembers, by digests of the texts' words; many texts are copies.
@@ -49,17 +50,11 @@ OPEN_FIRST = 6
 DENSE = 512
 #: Weight of the prior in a vote, in units of a neighbour's weight.
 PRIOR_WEIGHT = 0.25
-FOLDS = 5
 
 #: Words are runs of ASCII letters, digits and any other characters of more than one byte.
 SEPARATORS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 
-def held_out(doc_id: str | Column) -> Column:
-    col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(col.cast("string")) % FOLDS == 0, F.lit(False))
-
-
 def _scan(column: pa.Array):
     return textscan.slices(column, lower=True, separators=SEPARATORS)
 

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from lookalike.llm import toxicity
+from lookalike.llm import common
 from tests.llm.cases import DOCS, documents
 from tests.llm.test_text_ops import brute_components, brute_repeats, toxic_rows, words
 
@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
     assert all(r[3] == len(r[4]) > 0 for r in ids)
     again = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert Counter((r[0], tuple(r[4])) for r in again) == Counter((r[0], tuple(r[4])) for r in ids)
-    assert toxicity.FOLDS == 5
+    assert common.FOLDS == 5
 
 
 def test_run_keeps_the_training_order(spark, tmp_path):

@@ -187,6 +187,27 @@ def test_quality_verdict(spark):
     assert all(r["llr"] == 0 for r in none)
 
 
+def test_llr_equals_brute_force(spark):
+    """The score from the bucket of each n-gram, with the hashes taken from the engine."""
+    from pyspark.sql import functions as F
+
+    rows = documents()
+    docs, n = frame(spark, rows), 1 << 17
+    got = quality.measures(docs, labels(spark)).select("doc_id", "llr", "n_words").collect()
+    grams = quality.hashed(docs, "doc_id").select("doc_id", F.concat("h", quality.pairs(F.col("h"))).alias("g")).collect()
+    good = {i for i in range(60) if i % 7 and zlib.crc32(str(i).encode()) % 5} | {999}
+    raw, trusted = Counter(), Counter()
+    for r in grams:
+        raw.update(g % n for g in r["g"])
+        if r["doc_id"] in good:
+            trusted.update(g % n for g in r["g"])
+    share = sum(trusted.values()) / sum(raw.values())
+    step = lambda b: max(-127, min(127, round(16 * np.log((trusted[b] + 0.5) / (raw[b] * share + 0.5)))))
+    want = [(r["doc_id"], sum(step(g % n) for g in r["g"]) / (16 * len(r["g"])) if r["g"] else 0.0) for r in grams]
+    close = sorted(key((i, round(x, 6) + 0.0)) for i, x in want), sorted(key((r["doc_id"], round(r["llr"], 6) + 0.0)) for r in got)
+    assert close[0] == close[1] and len({x for _, x in want}) > 30
+
+
 def test_buckets_grow_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEAST_BUCKETS", 1 << 10)
 
@@ -205,7 +226,7 @@ def test_buckets_grow_with_the_corpus(spark, monkeypatch):
 def test_joined_weights_equal_the_array(spark, monkeypatch):
     rows = documents()
     want = quality.measures(frame(spark, rows), labels(spark)).collect()
-    monkeypatch.setattr(quality, "MAX_ARRAY", 0)
+    monkeypatch.setattr(quality, "MAX_TABLE", 0)
     got = quality.measures(frame(spark, rows), labels(spark)).collect()
     tidy = lambda rs: sorted(key((r["doc_id"], r["n_words"], r["n_repeat_words"], r["kept"], round(r["llr"], 9) + 0.0)) for r in rs)
     assert tidy(got) == tidy(want) and any(r["llr"] for r in got)
