@@ -9,7 +9,7 @@ long as a worker remembers it, and all new runs step through the trie together,
 
 Decoding joins the pieces' bytes, turns byte pieces back into bytes and markers into spaces, and drops
 the space in front; invalid UTF-8 becomes U+FFFD. Decoding an encoding gives back every text that has
-no marker of its own.
+no marker of its own; ``exact`` is false for the others, whose markers come back as spaces.
 
 Defined results: null and empty texts have no ids; texts of any length are encoded whole; equal scores
 are settled in favour of the longest last piece; rows equal in all columns have equal results; an empty
@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -36,6 +35,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Texts are encoded in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
+#: Runs of so many bytes or more are searched one by one, byte by byte.
+LONG_RUN = 512
 #: Distinct runs, and pieces in them, that a worker remembers from group to group.
 REMEMBER_RUNS, REMEMBER_PIECES = 400_000, 4_000_000
 
@@ -242,6 +243,40 @@ class Model:
         order = np.argsort(row_of, kind="stable")
         return ids[order], np.bincount(row_of, minlength=n)
 
+    def long_run(self, data: bytes) -> np.ndarray:
+        """Ids of the best path of one long run; the same as ``runs`` gives, without arrays for each byte."""
+        base, check, value = (x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value))
+        scores, n = self.scores.tolist(), len(data)
+        best, begin, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            if here == -np.inf:  # inside a character
+                continue
+            first = data[i]
+            width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            state, at, lone = 0, i, False
+            while at < n:
+                to = base[state] + data[at]
+                if check[to] != state or to == 0:
+                    break
+                state, at = to, at + 1
+                own = value[state]
+                if own >= 0:
+                    lone = lone or at - i == width
+                    if here + scores[own] > best[at]:
+                        best[at], begin[at], piece[at] = here + scores[own], i, own
+            if not lone:
+                at = min(i + width, n)
+                if here + self.unknown > best[at]:
+                    best[at], begin[at], piece[at] = here + self.unknown, i, -1
+        ids, at = [], n
+        while at > 0:
+            i = begin[at]
+            ids += [piece[at]] if piece[at] >= 0 else self.bytes[np.frombuffer(data[i:at], np.uint8)].tolist()[::-1]
+            at = i
+        return np.array(ids[::-1], np.int32)
+
     def _forget(self) -> None:
         self.known, self.flat = Numbers(), np.zeros(0, np.int32)
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -253,9 +288,9 @@ class Model:
         size = np.array([len(x) for x in fresh], np.int64)
         order = np.argsort(size, kind="stable")
         begin, count, parts, at, lo = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), [self.flat], len(self.flat), 0
-        while lo < len(order):  # runs of like length together, and a bounded table for each group
+        while lo < len(order) and size[order[lo]] < LONG_RUN:  # runs of like length together, and a bounded table for each group
             hi = lo + 1
-            while hi < len(order) and (hi - lo + 1) * (size[order[hi]] + 1) <= 1 << 19 and size[order[hi]] <= 1.3 * size[order[lo]] + 2:
+            while hi < len(order) and size[order[hi]] < LONG_RUN and (hi - lo + 1) * (size[order[hi]] + 1) <= 1 << 19 and size[order[hi]] <= 1.3 * size[order[lo]] + 2:
                 hi += 1
             group = order[lo:hi]
             data = np.frombuffer(b"".join([fresh[i] for i in group]), np.uint8)
@@ -263,6 +298,11 @@ class Model:
             begin[group], count[group] = at + np.cumsum(n) - n, n
             parts.append(ids)
             at, lo = at + len(ids), hi
+        for i in order[lo:]:
+            ids = self.long_run(fresh[i])
+            begin[i], count[i] = at, len(ids)
+            parts.append(ids)
+            at += len(ids)
         self.flat = np.concatenate(parts)
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
 
@@ -294,10 +334,15 @@ def _model(data: bytes) -> Model:
     return Model(data)
 
 
-@functools.lru_cache(2)
-def _shipped(name: str) -> Model:
-    with open(SparkFiles.get(name), "rb") as f:
-        return Model(f.read())
+def _shipped(model_file) -> Model:
+    """The model of a broadcast file; workers keep two, by their bytes."""
+    return _model(model_file.value)
+
+
+def _ship(spark, path: str):
+    """The bytes of a model file, of a fixed size whatever the input, for all tasks."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -312,14 +357,14 @@ def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo)
 
 
-def _encoder(name: str):
+def _encoder(model_file):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _shipped(name)
+        model = _shipped(model_file)
         for batch in batches:
             for part in _groups(batch):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 ids = model.encode(texts)
-                exact = [model.decode(x.tolist()) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
+                exact = [model.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 rest = [c for c in part.schema.names if c != "text"]
@@ -330,23 +375,19 @@ def _encoder(name: str):
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model_file: str | None = None) -> DataFrame:
     """The columns ``keep``, ids array<int> and exact (whether decoding gives back the text) of every
-    document. The model file travels with the job as a Spark file."""
-    path = model_file or default_model()
-    spark = docs.sparkSession
-    spark.sparkContext.addFile(path)
+    document."""
+    shipped = _ship(docs.sparkSession, model_file or default_model())
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<int>", "exact boolean"])
-    return docs.select(*keep, "text").mapInArrow(_encoder(path.rpartition("/")[2]), schema)
+    return docs.select(*keep, "text").mapInArrow(_encoder(shipped), schema)
 
 
 def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     """doc_id and text of rows with ``ids``."""
-    path = model_file or default_model()
-    encoded.sparkSession.sparkContext.addFile(path)
-    name = path.rpartition("/")[2]
+    shipped = _ship(encoded.sparkSession, model_file or default_model())
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _shipped(name)
+        model = _shipped(shipped)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([model.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
