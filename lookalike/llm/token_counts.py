@@ -22,11 +22,12 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Leaves of a block, about; a block splits at twice as many.
 BLOCK = 64
+#: So many edits at most are made one by one, each in a time that grows with the text's length at a low rate.
+FEW_EDITS = 16
 #: Distinct pre-tokens whose counts a worker remembers.
 REMEMBER = 500_000
 
@@ -43,11 +44,10 @@ def default_vocabulary() -> tuple[str, str]:
 class Counter:
     """Number of tokens of a pre-token."""
 
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, ranks_: bytes, pattern: str):
         import tiktoken
 
-        with open(rank_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
@@ -157,12 +157,56 @@ class Tree:
             self._build()
 
     def apply(self, edits: list[Edit]) -> None:
+        """Apply edits of the text as it is. A few are made one by one; many in one pass over the leaves."""
         edits = sorted(edits)
         for (_, end, _), (begin, _, _) in zip(edits, edits[1:], strict=False):
             if end > begin:
                 raise ValueError("edits overlap")
-        for begin, end, new in reversed(edits):
-            self.edit(begin, end, new)
+        if len(edits) <= FEW_EDITS:
+            for begin, end, new in reversed(edits):
+                self.edit(begin, end, new)
+        else:
+            self._pass(edits)
+
+    def _pass(self, edits: list[Edit]) -> None:
+        """All edits from left to right: the text is joined once, leaves that no edit can reach are kept, and
+        block sums and the tree above them are made once."""
+        if not all(0 <= begin <= end <= len(self.text) for begin, end, _ in edits):
+            raise ValueError(f"a span is outside a text of {len(self.text)} characters")
+        pieces, done = [], 0
+        for begin, end, new in edits:
+            pieces += [self.text[done:begin], new]
+            done = end
+        text = "".join([*pieces, self.text[done:]])
+        old, out, match = [x for b in self.blocks for x in b], [], self.counter.pattern.match
+        k = start = shift = at = i = 0  # old leaf and its start; the new text is ahead by shift at it
+        while i < len(edits):
+            # leaves that end at begin - 2 or before cannot see the span
+            while k < len(old) and start + old[k][0] <= max(0, edits[i][0] - 2):
+                out.append(old[k])
+                start += old[k][0]
+                k += 1
+            at, fresh = start + shift, []
+            while at < len(text):
+                while i < len(edits) and edits[i][0] + shift <= at + 2:  # the edits that the place has come to
+                    shift += len(edits[i][2]) - (edits[i][1] - edits[i][0])
+                    i += 1
+                behind = edits[i - 1][1] + shift if i else 0
+                while k < len(old) and start + shift < at:
+                    start += old[k][0]
+                    k += 1
+                if at >= behind and start + shift == at and i and start >= edits[i - 1][1]:
+                    break
+                found = match(text, at)
+                fresh.append(found[0])
+                at = found.end()
+            else:
+                k, i = len(old), len(edits)
+            out += self._leaves(fresh)
+        out += old[k:]
+        self.text = text
+        self.blocks = [out[j : j + BLOCK] for j in range(0, len(out), BLOCK)] or [[]]
+        self._build()
 
 
 _DIGITS = regex.compile(r"\d(?:[ -]?\d){6,}")
@@ -184,20 +228,20 @@ def cleaning_edits(text: str) -> list[Edit]:
 
 
 @functools.lru_cache(2)
-def _counter(name: str, pattern: str) -> Counter:
-    return Counter(SparkFiles.get(name), pattern)
+def _counter(ranks: bytes, pattern: str) -> Counter:
+    return Counter(ranks, pattern)
 
 
 def edited_counts(docs: DataFrame, edits: Callable[[str], list[Edit]] = cleaning_edits, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Token counts of every document before and after its edits: (doc_id, n_tokens, n_pre_tokens,
     n_edits, n_tokens_after, n_pre_tokens_after, n_encoded), the last being the number of pre-tokens that
-    were encoded again. The rank file travels with the job as a Spark file."""
+    were encoded again. The ranks, of a fixed size whatever the input, are broadcast."""
     path, pattern = vocabulary or default_vocabulary()
-    docs.sparkSession.sparkContext.addFile(path)
-    name = path.rpartition("/")[2]
+    with open(path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(name, pattern)
+        counter = _counter(ranks.value, pattern)
         for batch in batches:
             rows = []
             for text in batch.column("text"):

@@ -538,7 +538,9 @@ def test_toxicity_with_few_labels(spark, marks):
 
 @pytest.fixture(scope="module")
 def counter():
-    return token_counts.Counter(*token_counts.default_vocabulary())
+    path, pattern = token_counts.default_vocabulary()
+    with open(path, "rb") as f:
+        return token_counts.Counter(f.read(), pattern)
 
 
 def check_tree(tree, counter):
@@ -556,6 +558,34 @@ def test_edits(counter, text, edits):
         check_tree(tree, counter)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab 's1é!\n\t日re", max_size=200), st.lists(st.tuples(st.integers(0, 12), st.integers(0, 5), st.text(alphabet="a 's\n1", max_size=4)), max_size=30))
+def test_many_edits(counter, text, steps):
+    tree, edits, at = token_counts.Tree(text, counter), [], 0
+    for gap, n, new in steps:
+        if at + gap + n <= len(text):
+            edits.append((at + gap, at + gap + n, new))
+            at += gap + n
+    after = text
+    for begin, end, new in reversed(edits):
+        after = after[:begin] + new + after[end:]
+    if edits:
+        tree._pass(edits)
+    assert tree.text == after
+    check_tree(tree, counter)
+
+
+def test_very_many_edits_cost_no_more_than_a_count(counter):
+    import time
+
+    text = "some words, 1 and more. " * 40_000
+    tree = token_counts.Tree(text, counter)
+    start = time.time()
+    tree.apply([(i, i + 4, "new") for i in range(0, len(text) - 24, 24)])
+    assert time.time() - start < 10
+    check_tree(tree, counter)
+
+
 def test_edit_touches_little(counter):
     tree = token_counts.Tree("some words and more, " * 5000, counter)
     tree.encoded = 0
@@ -636,6 +666,21 @@ def test_pieces_follow_the_public_library(model):
     assert [x.tolist() for x in model.encode(texts)] == unigram.encode(texts)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="theandéw日\U0001f600x▁", min_size=1, max_size=60))
+def test_long_runs_equal_short_ones(model, text):
+    data = text.encode()
+    ids, n = model.runs(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([len(data)]))
+    assert model.long_run(data).tolist() == ids.tolist() and n.tolist() == [len(ids)]
+
+
+def test_a_very_long_run(model):
+    import time
+
+    text, start = "theandofé" * 60_000, time.time()
+    assert model.decode(model.encode([text])[0].tolist()) == text and time.time() - start < 30
+
+
 def test_trie(model):
     assert all(model.trie.find(p) == i for i, (p, _, k) in list(enumerate(model.pieces))[::97] if k == pieces.NORMAL)
     assert model.trie.find(b"\xff") == -1 and pieces.Trie([]).find(b"a") == -1
@@ -645,6 +690,8 @@ def test_encode_and_decode(spark):
     docs = frame(spark, clashes=False)
     got = pieces.encode(docs)
     assert got.where("not exact").count() == 0
+    marked = pieces.encode(spark.createDataFrame([(1, "a\u2581b"), (2, "a b")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["exact"] for r in marked} == {1: False, 2: True}
     texts = {(r["doc_id"], r["text"]) for r in pieces.decode(got).collect()}
     assert texts == {(r[0], r[1] or "") for r in documents()}
     with pytest.raises(IndexError):
