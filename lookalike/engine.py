@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.hashers import find
 from .operators import clusters as cl
@@ -67,7 +68,12 @@ def generate_plan(spark: SparkSession, clusters: str, out: str, root: str | None
 
 
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    return interchange.read_plan(spark, path).withColumnRenamed("clusterId", "cluster_id")
+    """A plan file, quoted or, if its first row has no quotation mark, in the older form without."""
+    value = F.trim("value")
+    row = spark.read.text(path).where((value != "") & ~F.ltrim(F.regexp_replace("value", '"', "")).startswith("clusterId,action,path")).first()
+    plain = row is not None and '"' not in row["value"]
+    rows = pl.normalise(interchange.read_plain_plan(spark, path)) if plain else interchange.read_plan(spark, path)
+    return rows.withColumnRenamed("clusterId", "cluster_id")
 
 
 def apply_plan(spark: SparkSession, path: str, folder: str = "./quarantine", **options) -> Iterator[dict]:

@@ -26,7 +26,7 @@ from .stage_table import cut, scratch
 ENDINGS = (".jpg", ".PNG", ".bmp", ".txt", ".gif")
 #: Hamming radius of the document queries, and of those over embeddings, which lie far apart.
 RADIUS, FAR_RADIUS = 1, 20
-PROBE_EVERY = 100
+PROBE_EVERY = 50
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -338,3 +338,29 @@ def plan_round_trip(spark, sf_dir):
     path = scratch(spark, "plan")
     interchange.write_plan(doc_plan(spark, sf_dir), path)
     return interchange.read_plan(spark, path)
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, CAST(path AS VARCHAR) AS path FROM dups")
+def clusters_round_trip(spark, sf_dir):
+    """Clusters written as text and read again."""
+    path = scratch(spark, "clusters")
+    interchange.write_clusters(cl.duplicates(doc_clusters(spark, sf_dir)), path)
+    return interchange.read_clusters(spark, path)
+
+
+@query(f"WITH RECURSIVE {_PLAN} SELECT CAST(cluster_id AS VARCHAR) AS \"clusterId\", action, CAST(path AS VARCHAR) AS path, reason FROM plan")
+def plan_json_round_trip(spark, sf_dir):
+    """A plan as one JSON list for each cluster, read again."""
+    lists = doc_plan(spark, sf_dir).groupBy("cluster_id").agg(F.to_json(F.collect_list(F.struct(F.col("cluster_id").cast("string").alias("clusterId"), "action", F.col("path").cast("string").alias("path"), "reason"))).alias("body"))
+    return lists.select(F.explode(interchange.plan_from_json(F.col("body"))).alias("r")).select("r.*")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' AS label FROM orders")
+def day_labels(spark, sf_dir):
+    millis = F.unix_millis(F.to_timestamp(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", scalars.day_label(millis).alias("label"))
+
+
+@query("SELECT c_custkey, url_encode(c_name || ' & ' || c_mktsegment) AS part FROM customer")
+def url_parts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", scalars.url_component(F.concat_ws(" & ", "c_name", "c_mktsegment")).alias("part"))

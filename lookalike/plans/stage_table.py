@@ -13,9 +13,12 @@ _written: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a local folder where none is set (single-machine use)."""
+    """The session's spark.checkpoint.dir. Where none is set, a local folder if all tasks run on this machine,
+    and an error if not, as no other machine could read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -11,6 +11,7 @@ import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,19 @@ from .plans.stage_table import exists, scratch
 from .sources import images, interchange
 
 PRESETS = {"identical": (1.0, "ahash"), "similar": (0.95, "phash")}
-PAGE = """<!DOCTYPE html><meta charset="utf-8"><title>lookalike</title><h1>Near-duplicate review</h1>
-<p>POST /api/process?directory=..., then GET /api/job/ID, /api/clusters and /api/plan.</p>"""
+PAGE = Path(__file__).with_name("review.html").read_text(encoding="utf-8").replace("/*PRESETS*/", json.dumps(PRESETS))
+PLAN_KEYS = interchange.PLAN_COLUMNS
+
+
+def plan_rows(body: str) -> list[tuple]:
+    """Plan rows of a request's body; ValueError if it is no JSON list of objects that name cluster and path."""
+    found = json.loads(body)
+    if not isinstance(found, list):
+        raise ValueError("the plan must be a list")
+    for row in found:
+        if not isinstance(row, dict) or not all(isinstance(row.get(k), str) for k in ("clusterId", "path")) or not all(isinstance(row.get(k), str | None) for k in PLAN_KEYS):
+            raise ValueError("every row of the plan must name its cluster and path")
+    return [tuple(row.get(k) or "" for k in PLAN_KEYS) for row in found]
 
 
 class Service:
@@ -32,7 +44,7 @@ class Service:
     def __init__(self, spark: SparkSession, clusters: str | None = None, plan: str | None = None):
         self.spark, self.clusters, self.plan = spark, clusters, plan
         self.jobs: dict[str, dict] = {}
-        self.lock, self.pool = threading.Lock(), ThreadPoolExecutor(1)
+        self.lock, self.writing, self.pool = threading.Lock(), threading.Lock(), ThreadPoolExecutor(1)
 
     def _start(self, work) -> tuple[int, dict]:
         job = uuid.uuid4().hex
@@ -91,12 +103,17 @@ class Service:
         rows = self._plan_rows()
         return 200, [] if rows is None else [json.loads(x["json"]) for x in interchange.plan_json(rows).collect()]
 
-    def update_plan(self, body: str) -> tuple[int, str]:
-        frame = self.spark.createDataFrame([(body,)], "body string").select(F.explode(interchange.plan_from_json(F.col("body"))).alias("r")).select("r.*")
-        rows = pl.normalise(frame.withColumnRenamed("clusterId", "cluster_id").withColumn("reason", F.coalesce("reason", F.lit(""))))
-        target = scratch(self.spark, "plan")
-        interchange.write_plan(rows, target)
-        self.plan = target
+    def update_plan(self, body: str) -> tuple[int, str | dict]:
+        """Write the reviewed plan to the plan's own file. A body that is no plan changes nothing."""
+        try:
+            rows = plan_rows(body)
+        except ValueError as e:
+            return 400, {"error": f"not a plan: {e}"}
+        frame = pl.normalise(self.spark.createDataFrame(rows, interchange.PLAN_SCHEMA).withColumnRenamed("clusterId", "cluster_id"))
+        with self.writing:
+            target = self.plan or scratch(self.spark, "plan")
+            interchange.write_plan(frame, target)
+            self.plan = target
         return 200, "OK"
 
     def apply(self, folder: str = "./quarantine") -> tuple[int, dict]:

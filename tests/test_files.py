@@ -111,6 +111,30 @@ def test_plan_files(spark, tmp_path):
     assert interchange.in_own_folder("a/b.csv") == "a/b.csv"
 
 
+def test_plans_in_either_form(spark, tmp_path):
+    from lookalike import engine
+    from lookalike.service import Service
+
+    f = tmp_path / "old.csv"
+    f.write_text("clusterId,action,path,reason\n1,keep,/a.png,keeper(pixels=1,size=2,mtime=3)\n1,DELETE,/b.png,r\n")
+    want = {("1", "/a.png", "keeper(pixels=1,size=2,mtime=3)"), ("1", "/b.png", "r")}
+    assert rows(engine.read_plan(spark, str(f)), "cluster_id", "path", "reason") == want
+    service = Service(spark, plan=str(f))
+    assert service.update_plan('[{"clusterId": "7", "action": "DELETE", "path": "/x, y.png"}]') == (200, "OK")
+    assert rows(engine.read_plan(spark, str(f)), "cluster_id", "path", "reason") == {("7", "/x, y.png", "")}
+    assert service.update_plan("nothing")[0] == 400 and engine.read_plan(spark, str(f)).count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lookalike.plans import stage_table
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(RuntimeError):
+        stage_table.shared_dir(session)
+
+
 def test_own_folder(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     assert "/.dup" in interchange.in_own_folder("x.csv") and next(tmp_path.iterdir()).name.startswith(".dup")
@@ -153,6 +177,10 @@ def test_service(spark, folder, tmp_path, monkeypatch):
         assert call(port, "GET", "/api/image")[0] == 400 and call(port, "GET", "/api/image?path=" + quote(str(folder / "other.bmp")))[0] == 404
         for r in plan:
             r["action"] = "KEEP" if r["path"].endswith("c.jpg") else r["action"]
+        before = call(port, "GET", "/api/plan")[1]
+        for bad in ("not json", "{}", "[1]", '[{"path": "x"}]', ""):
+            assert call(port, "POST", "/api/plan/update", bad)[0] == 400
+        assert call(port, "GET", "/api/plan")[1] == before and b"presets" in call(port, "GET", "/")[1]
         assert call(port, "POST", "/api/plan/update", json.dumps(plan))[1] == b"OK"
         assert finished(call(port, "POST", "/api/apply", ""))["result"] == "1 files moved"
         assert [p.name for p in (tmp_path / "quarantine").iterdir()] == ["a.png"]
