@@ -45,7 +45,9 @@ def _theta(hashes: DataFrame, radius: int) -> DataFrame:
     return a.join(b, (F.col("a") < F.col("b")) & (d <= radius)).select("a", "b", d.alias("distance"))
 
 
-def _banded(hashes: DataFrame, radius: int, n_bands: int, probe: int) -> DataFrame:
+def _between(one: DataFrame, two: DataFrame, radius: int, n_bands: int, probe: int) -> DataFrame:
+    """(a, b, distance) of the hashes a of ``one`` and b of ``two`` within ``radius``, each pair once, as an
+    equi-join on bands: two such hashes differ in at most ``probe`` bits of some band."""
     cut = bands(n_bands)
     own = F.array(*[F.struct(F.lit(i).alias("i"), _band(F.col("hash"), *c).alias("v")) for i, c in enumerate(cut)])
     flips = lambda w: [sum(1 << k for k in x) for n in range(probe + 1) for x in itertools.combinations(range(w), n)]
@@ -55,12 +57,35 @@ def _banded(hashes: DataFrame, radius: int, n_bands: int, probe: int) -> DataFra
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("i"), _band(F.col("hash"), at, width).bitwiseXOR(m).alias("v")))
 
     near = F.flatten(F.array(*[probes(i, *c) for i, c in enumerate(cut)])) if probe else own
-    left = hashes.select(F.col("hash").alias("a"), F.explode(near).alias("k")).select("a", "k.i", "k.v")
-    right = hashes.select(F.col("hash").alias("b"), F.explode(own).alias("k")).select("b", "k.i", "k.v")
+    left = one.select(F.col("hash").alias("a"), F.explode(near).alias("k")).select("a", "k.i", "k.v")
+    right = two.select(F.col("hash").alias("b"), F.explode(own).alias("k")).select("b", "k.i", "k.v")
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.coalesce(*[F.when(F.bit_count(_band(x, *c)) <= probe, F.lit(i)) for i, c in enumerate(cut)])
     d = F.bit_count(x)
-    return left.join(right, ["i", "v"]).where((F.col("a") < F.col("b")) & (d <= radius) & (first == F.col("i"))).select("a", "b", d.cast("int").alias("distance"))
+    return left.join(right, ["i", "v"]).where((d <= radius) & (first == F.col("i"))).select("a", "b", d.cast("int").alias("distance"))
+
+
+def _banded(hashes: DataFrame, radius: int, n_bands: int, probe: int) -> DataFrame:
+    return _between(hashes, hashes, radius, n_bands, probe).where(F.col("a") < F.col("b"))
+
+
+def _plan(radius: int) -> tuple[int, int]:
+    """Number of bands, and bits that a probe may differ in: some hundreds of probes a hash at most for radii
+    up to 23."""
+    if radius <= BANDED_RADIUS:
+        return min(64, radius + 1), 0
+    n = max(2, min(8, (radius + 2) // 2)) if radius < 16 else 8
+    return n, radius // n
+
+
+def pairs_between(one: DataFrame, two: DataFrame, radius: int) -> DataFrame:
+    """(a, b, distance) of the distinct hashes of two tables within ``radius``. Radii of 24 or more, where bands
+    no longer tell hashes apart, compare all."""
+    one, two = (x.select("hash").where("hash is not null").distinct() for x in (one, two))
+    if 0 <= radius < 24:
+        return _between(one, two, radius, *_plan(radius))
+    d = hamming(F.col("a"), F.col("b"))
+    return one.select(F.col("hash").alias("a")).join(two.select(F.col("hash").alias("b")), d <= radius).select("a", "b", d.alias("distance"))
 
 
 def hash_pairs(hashes: DataFrame, radius: int, strategy: str = "auto", n_nodes: int | None = None) -> DataFrame:
@@ -78,7 +103,6 @@ def hash_pairs(hashes: DataFrame, radius: int, strategy: str = "auto", n_nodes:
     if strategy == "banded":
         return _banded(hashes, radius, min(64, radius + 1), 0)
     if strategy == "multi":
-        # radius // bands is 1 or 2 for radii up to 23: some hundreds of probes a hash at most
         n = max(2, min(8, (radius + 2) // 2)) if radius < 16 else 8
         return _banded(hashes, radius, n, radius // n)
     raise ValueError(f"unknown strategy {strategy!r}")
@@ -100,6 +124,6 @@ def within(items: DataFrame, probes: DataFrame, radius: int) -> DataFrame:
     among them; a negative radius finds nothing."""
     if radius < 0:
         warnings.warn(f"radius {radius} finds nothing", stacklevel=2)
+    near = pairs_between(probes, items, radius).withColumnsRenamed({"a": "_probe", "b": "hash"})
     own = probes.select("probe", F.col("hash").alias("_probe"))
-    d = hamming(F.col("hash"), F.col("_probe"))
-    return items.join(own, d <= radius).select("probe", "path", d.alias("distance"))
+    return near.join(own, "_probe").join(items.select("path", "hash"), "hash").select("probe", "path", "distance")

@@ -39,7 +39,18 @@ def images(spark: SparkSession, root: str) -> DataFrame:
 
 def hashed(spark: SparkSession, root: str, algorithm: str = "phash", orientation: int | None = None) -> DataFrame:
     """(path, hash, pixels) of the images under ``root``; those that can't be hashed are left out."""
-    rows = images(spark, root).select("path", image_hash(algorithm, orientation)("image").alias("hash"), (F.col("image.width").cast("long") * F.col("image.height")).alias("pixels"))
+    return _hashed(images(spark, root), algorithm, orientation)
+
+
+def hashed_files(spark: SparkSession, paths: list[str], algorithm: str = "phash") -> DataFrame:
+    """(path, hash, pixels) of the images among some files, which alone are read."""
+    exact = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    found = spark.read.format("image").option("dropInvalid", "true").load(exact)
+    return _hashed(found.select(local_path(F.col("image.origin")).alias("path"), "image"), algorithm, None)
+
+
+def _hashed(found: DataFrame, algorithm: str, orientation: int | None) -> DataFrame:
+    rows = found.select("path", image_hash(algorithm, orientation)("image").alias("hash"), (F.col("image.width").cast("long") * F.col("image.height")).alias("pixels"))
     return rows.where("hash is not null")
 
 

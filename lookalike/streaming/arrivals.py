@@ -1,7 +1,8 @@
 """Hashing images as they arrive, and keeping the components of all that has arrived.
 
-Each micro-batch hashes its new files and appends them to the index table; only distinct hashes that are
-new are joined with the index, so a batch costs its own size, not the square of what came before.
+Each micro-batch reads and hashes its own files, at most MAX_FILES, and appends them to the index table; only
+distinct hashes that are new are joined with the index, by bands, so the work on images is that of the batch, and
+the join reads the index's hashes once.
 """
 
 from __future__ import annotations
@@ -11,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalars import hamming, is_image
+from ..functions.scalars import is_image
 from ..operators.components import components
-from ..sources.images import GLOB, hashed, local_path
+from ..operators.similarity import pairs_between
+from ..sources.images import GLOB, hashed_files, local_path
 
+#: Files of a micro-batch, at most; their names reach the driver.
+MAX_FILES = 1000
 INDEX, LINKS = "path string, hash long", "a long, b long"
 
 
-def arrivals(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
+def arrivals(spark: SparkSession, root: str, max_files: int = MAX_FILES) -> DataFrame:
     """A stream of the paths of new image files."""
     found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).option("maxFilesPerTrigger", max_files).load(root)
     return found.select("path", "modificationTime", "length").where(is_image(F.col("path")))
@@ -26,9 +30,8 @@ def arrivals(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame
 
 def add_batch(index: DataFrame, links: DataFrame, new: DataFrame, radius: int) -> DataFrame:
     """The links (a, b) that new items (path, hash) add to those of an index."""
-    fresh = new.select(F.col("hash").alias("a")).distinct()
-    known = index.select(F.col("hash").alias("b")).union(new.select(F.col("hash").alias("b"))).distinct()
-    found = fresh.join(known, (F.col("a") != F.col("b")) & (hamming(F.col("a"), F.col("b")) <= radius))
+    known = index.select("hash").union(new.select("hash"))
+    found = pairs_between(new, known, radius).where("a <> b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
 
 
@@ -47,9 +50,10 @@ def watch(spark: SparkSession, root: str, index_path: str, links_path: str, chec
     run again after a failure replaces its own rows."""
 
     def batch(paths: DataFrame, number: int) -> None:
-        own = paths.select(local_path(F.col("path")).alias("path")).cache()
-        hashed(spark, root, algorithm).select("path", "hash").join(own, "path", "left_semi").write.mode("overwrite").parquet(f"{index_path}/batch={number}")
-        own.unpersist()
+        own = [r["path"] for r in paths.select(local_path(F.col("path")).alias("path")).collect()]
+        if not own:
+            return
+        hashed_files(spark, own, algorithm).select("path", "hash").write.mode("overwrite").parquet(f"{index_path}/batch={number}")
         index = _read(spark, index_path, INDEX)
         links = _read(spark, links_path, LINKS).where(F.col("batch") < number).select("a", "b")
         more = add_batch(index.where(F.col("batch") < number), links, index.where(F.col("batch") == number), radius)
