@@ -92,11 +92,11 @@ class Index:
         self.words, self.factor, self.n_terms = words, factor, max(1, len(words))
         self.prior = float(labels.mean()) if len(labels) else 0.0
         # examples with the same strongest word stand together, so that block maxima differ
-        lead = np.full(len(labels), -1, np.int64)
+        lead = np.full(len(labels), -1, np.int32)
         order = np.lexsort((weight, example))
         lead[example[order]] = term[order]
         order = np.lexsort((ids, lead))
-        place = np.argsort(order)
+        place = np.argsort(order).astype(np.int32)
         self.labels, self.ids, example = labels[order].astype(np.float64), ids[order], place[example]
         self.n_blocks = max(1, -(-len(self.labels) // BLOCK))
         many = np.bincount(term, minlength=self.n_terms)
@@ -283,7 +283,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     ids, marks, lists = flat("doc_id").to_numpy(), flat("toxic").to_numpy().astype(np.int64), flat("words")
     example = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
     words, term = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    counts = flat("counts").flatten().to_numpy()
+    counts = flat("counts").flatten().to_numpy().astype(np.float64)
+    del found, lists
+    pa.default_memory_pool().release_unused()  # the driver keeps the index alone
+    example, term = example.astype(np.int32), term.astype(np.int32)
     shipped = docs.sparkSession.sparkContext.broadcast(words)
     df, n_docs = np.zeros(len(words)), 0
     got = docs.select("text").mapInArrow(_word_counts(shipped), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
@@ -291,9 +294,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     n_docs = n[at < 0].sum()
     df[at[at >= 0]] = n[at >= 0]
     factor = (np.log((1 + n_docs) / (1 + df)) + 1) * relevance(term, example, marks, len(words))
-    weight = (1 + np.log(counts)) * factor[term]
+    weight = np.log(counts, out=counts)
+    weight += 1
+    weight *= factor[term]
     norm = np.sqrt(np.bincount(example, weight**2, len(ids)))
-    return Index(words, factor, marks, ids.astype(np.int64), example, term, weight / np.maximum(norm, 1e-300)[example])
+    weight /= np.maximum(norm, 1e-300)[example]
+    shipped.destroy()
+    return Index(words, factor, marks, ids.astype(np.int64), example, term, weight)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
