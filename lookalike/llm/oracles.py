@@ -37,17 +37,21 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM placed ANT
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-#: Lines, quotes and links as the operator makes them; paths by recursion.
+#: Passages, lines, quotes and links as the operator makes them; paths by recursion.
 OP6 = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split_regex(coalesce(text, ''), '\r?\n') AS lines FROM conversations),
 line AS (SELECT conv_id, turn, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM m),
 marked AS (SELECT *, regexp_matches(line, '^[ \t]*>') AS quote, len(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)+)', 1), '[ \t]', '', 'g')) AS level,
   lower(trim(regexp_replace(regexp_replace(line, '^[ \t]*((?:>[ \t]*)+)', ''), '[\s\x{A0}]+', ' ', 'g'))) AS norm FROM line),
-q AS (SELECT DISTINCT conv_id, turn, level, norm FROM marked WHERE quote AND norm <> ''),
-own AS (SELECT DISTINCT conv_id, turn, norm FROM marked WHERE NOT quote),
-found AS (SELECT q.conv_id, q.turn, q.level, MAX(own.turn) AS source FROM q JOIN own ON own.conv_id = q.conv_id AND own.norm = q.norm AND own.turn < q.turn GROUP BY q.conv_id, q.turn, q.level, q.norm),
-votes AS (SELECT conv_id, turn, source, MIN(level) AS level, COUNT(*) AS n, COUNT(*) FILTER (WHERE level = 1) AS direct FROM found GROUP BY 1, 2, 3),
-parent AS (SELECT conv_id, turn, arg_max(source, (direct, -level, n, source)) AS parent_turn FROM votes GROUP BY 1, 2),
+islands AS (SELECT *, SUM(starts) OVER (PARTITION BY conv_id, turn ORDER BY i) AS island
+  FROM (SELECT *, CASE WHEN lag(level) OVER o IS DISTINCT FROM level OR norm = '' OR lag(norm) OVER o = '' THEN 1 ELSE 0 END AS starts FROM marked WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i))),
+units AS (SELECT conv_id, turn, level, norm, false AS whole FROM marked WHERE norm <> ''
+  UNION ALL SELECT conv_id, turn, MIN(level), string_agg(norm, ' ' ORDER BY i), true FROM islands WHERE norm <> '' GROUP BY conv_id, turn, island),
+q AS (SELECT conv_id, turn, level, norm, bool_or(whole) AS whole FROM units WHERE level > 0 GROUP BY 1, 2, 3, 4),
+own AS (SELECT DISTINCT conv_id, turn, norm FROM units WHERE level = 0),
+found AS (SELECT q.conv_id, q.turn, q.level, q.whole, MAX(own.turn) AS source FROM q JOIN own ON own.conv_id = q.conv_id AND own.norm = q.norm AND own.turn < q.turn GROUP BY q.conv_id, q.turn, q.level, q.norm, q.whole),
+votes AS (SELECT conv_id, turn, source, MIN(level) AS level, COUNT(*) AS n, COUNT(*) FILTER (WHERE level = 1) AS direct, COUNT(*) FILTER (WHERE level = 1 AND whole) AS passages FROM found GROUP BY 1, 2, 3),
+parent AS (SELECT conv_id, turn, arg_max(source, (passages, direct, -level, n, source)) AS parent_turn FROM votes GROUP BY 1, 2),
 path(conv_id, turn, above, path) AS (SELECT conv_id, turn, parent_turn, CAST(parent_turn AS VARCHAR) || '/' || turn FROM parent
   UNION ALL SELECT p.conv_id, p.turn, x.parent_turn, x.parent_turn || '/' || p.path FROM path p JOIN parent x ON x.conv_id = p.conv_id AND x.turn = p.above),
 longest AS (SELECT conv_id, turn, arg_max(path, length(path)) AS path FROM path GROUP BY 1, 2),

@@ -31,6 +31,31 @@ def test_quoting_equals_sql(spark, tmp_path):
     assert len(got) == 12 and tidy(got, columns).equals(tidy(want, columns))
 
 
+def test_quoted_passages_equal_sql(spark, tmp_path):
+    """A paragraph broken anew, a part of one, a passage against a later message with one of its lines, nested levels."""
+    first = "The road is long\nand the night is cold.\n\nSecond part\nwith two lines"
+    texts = [
+        first,
+        "Other words\nand the night is cold.\nmore",
+        "> The road is\n> long and the\n> night is cold.\nyes",
+        "> The road is long\n> and the night is cold.\nno",
+        "> and the night is cold.\npart",
+        ">> Second part with\n>> two lines\n> yes\n>\n> no\nboth",
+        ">> Second part\n>> with two lines\ndeep only",
+        "\n\n>\n\n",
+    ]
+    rows = [(c, t, "u", x) for c in (1, 2) for t, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = queries.QUERIES["op6_quoting"](spark, str(tmp_path)).toPandas(), con.execute(oracles.OP6).fetchdf()
+    columns = sorted(got.columns)
+    assert tidy(got, columns).equals(tidy(want, columns))
+    parents = dict(got[got.conv_id == 1][["turn", "parent_turn"]].to_numpy().tolist())
+    # 2: broken anew, only the passage tells; 3: message 0 has the passage, the later 1 only a line; 4: the line alone
+    assert parents == {0: -1, 1: -1, 2: 0, 3: 0, 4: 1, 5: 3, 6: 0, 7: -1}
+
+
 def test_every_query(spark):
     import __spark_entry__
 
