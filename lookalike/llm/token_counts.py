@@ -186,7 +186,7 @@ class Tree:
                 out.append(old[k])
                 start += old[k][0]
                 k += 1
-            at, fresh = start + shift, []
+            at, fresh, first = start + shift, [], i
             while at < len(text):
                 while i < len(edits) and edits[i][0] + shift <= at + 2:  # the edits that the place has come to
                     shift += len(edits[i][2]) - (edits[i][1] - edits[i][0])
@@ -195,7 +195,8 @@ class Tree:
                 while k < len(old) and start + shift < at:
                     start += old[k][0]
                     k += 1
-                if at >= behind and start + shift == at and i and start >= edits[i - 1][1]:
+                # a leaf may begin well before its edit: nothing is kept until an edit of this round is behind
+                if i > first and at >= behind and start + shift == at and start >= edits[i - 1][1]:
                     break
                 found = match(text, at)
                 fresh.append(found[0])

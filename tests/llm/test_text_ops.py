@@ -575,6 +575,14 @@ def test_many_edits(counter, text, steps):
     check_tree(tree, counter)
 
 
+def test_many_edits_inside_long_words(counter):
+    text = "abcdefghijklmnop " * 20
+    tree = token_counts.Tree(text, counter)
+    tree.apply([(i + 8, i + 9, "") for i in range(0, len(text), 17)])
+    assert tree.text == "abcdefghjklmnop " * 20
+    check_tree(tree, counter)
+
+
 def test_very_many_edits_cost_no_more_than_a_count(counter):
     import time
 
