@@ -9,9 +9,15 @@ never behind its start, so a boundary met behind the span proves that the rest i
 
 Leaves stand in blocks, so that an edit moves few of them; block sums are the tree's lowest level.
 
+``trees`` gives a table of every document's leaves, to be written; ``edited`` joins a table of edits to it
+and gives the table as it is then, to be written for the next edits. Documents without edits are neither
+read into trees nor encoded. ``edited_counts`` counts before and after edits that a function finds.
+
 Defined results: null and empty texts have no tokens and no pre-tokens; edits that touch or meet are
-applied as they come, from the last to the first; overlapping edits are an error; rows equal in all
-columns have equal results; an empty table gives an empty result; further columns don't matter.
+applied as they come, from the last to the first; overlapping edits, and leaves that are not those of their
+text, are an error; rows equal in all columns have equal results; edits go to every row with their doc_id,
+and those of no row, or without doc_id, begin or end, do nothing; a null replacement is an empty one; a
+null text is an empty one once edited; an empty table gives an empty result; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Leaves of a block, about; a block splits at twice as many.
 BLOCK = 64
@@ -73,6 +80,22 @@ class Tree:
         self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
         self._build()
 
+    @classmethod
+    def restore(cls, text: str, chars: list[int], tokens: list[int], counter: Counter) -> Tree:
+        """The tree of a text from its kept leaves; nothing is encoded."""
+        if len(chars) != len(tokens) or sum(chars) != len(text):
+            raise ValueError("the leaves are not those of the text")
+        tree = cls("", counter)
+        leaves = list(zip(chars, tokens, strict=True))
+        tree.text, tree.blocks = text, [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
+        tree._build()
+        return tree
+
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves."""
+        leaves = [x for block in self.blocks for x in block]
+        return [n for n, _ in leaves], [n for _, n in leaves]
+
     def _leaves(self, pre_tokens: list[str]) -> list[tuple[int, int]]:
         self.encoded += len(pre_tokens)
         count = self.counter
@@ -233,13 +256,72 @@ def _counter(ranks: bytes, pattern: str) -> Counter:
     return Counter(ranks, pattern)
 
 
+def _ranks(docs: DataFrame, vocabulary: tuple[str, str] | None):
+    """The ranks, broadcast, and the pattern; ranks have a fixed size whatever the input."""
+    path, pattern = vocabulary or default_vocabulary()
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read()), pattern
+
+
+_INTS = pa.list_(pa.int32())
+_KEPT = ["doc_id", "text", "chars", "tokens", "n_tokens", "n_encoded"]
+
+
+def _kept_schema(docs: DataFrame) -> str:
+    return f"doc_id {dict(docs.dtypes)['doc_id']}, text string, chars array<int>, tokens array<int>, n_tokens long, n_encoded long"
+
+
+def trees(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """(doc_id, text, chars, tokens, n_tokens, n_encoded) of every document: the characters and tokens of its
+    pre-tokens in order, its tokens in all, and the pre-tokens that were encoded, here all."""
+    ranks, pattern = _ranks(docs, vocabulary)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(ranks.value, pattern)
+        for batch in batches:
+            made = [Tree(text.as_py() or "", counter) for text in batch.column("text")]
+            chars, tokens = zip(*(t.kept() for t in made), strict=True) if made else ((), ())
+            sums = [pa.array(x, pa.int64()) for x in ([t.n_tokens for t in made], [t.encoded for t in made])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(chars, _INTS), pa.array(tokens, _INTS), *sums], _KEPT)
+
+    return docs.select("doc_id", "text").mapInArrow(build, _kept_schema(docs))
+
+
+def edited(kept: DataFrame, edits: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """The rows of ``trees`` after edits (doc_id, begin, end, new) of the texts as they stand in ``kept``;
+    n_encoded is the number of pre-tokens encoded again, 0 for a document without edits.
+
+    A document's edits are gathered beside its text; as they don't overlap, the text bounds them. Rows
+    without doc_id, which have no edits, are left out of the join, so they don't meet in one task."""
+    ranks, pattern = _ranks(kept, vocabulary)
+    rows = kept.select("doc_id", "text", "chars", "tokens", "n_tokens").withColumn("n_encoded", F.lit(0).cast("long"))
+    usable = edits.where("doc_id is not null and begin is not null and end is not null")
+    span = F.struct(F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new"))
+    gathered = usable.groupBy("doc_id").agg(F.collect_list(span).alias("_edits"))
+    joined = rows.where("doc_id is not null").join(gathered, "doc_id", "left")
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(ranks.value, pattern)
+        for batch in batches:
+            rows = []
+            for text, chars, tokens, own in zip(*(batch.column(name) for name in ("text", "chars", "tokens", "_edits")), strict=True):
+                tree = Tree.restore(text.as_py() or "", chars.as_py(), tokens.as_py(), counter)
+                tree.apply([(e["begin"], e["end"], e["new"]) for e in own.as_py()])
+                rows.append((tree.text, *tree.kept(), tree.n_tokens, tree.encoded))
+            kinds = pa.string(), _INTS, _INTS, pa.int64(), pa.int64()
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], _KEPT)
+
+    changed = joined.where("_edits is not null").mapInArrow(change, _kept_schema(kept))
+    same = joined.where("_edits is null").drop("_edits").unionByName(rows.where("doc_id is null"))
+    return changed.unionByName(same)
+
+
 def edited_counts(docs: DataFrame, edits: Callable[[str], list[Edit]] = cleaning_edits, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Token counts of every document before and after its edits: (doc_id, n_tokens, n_pre_tokens,
     n_edits, n_tokens_after, n_pre_tokens_after, n_encoded), the last being the number of pre-tokens that
     were encoded again. The ranks, of a fixed size whatever the input, are broadcast."""
-    path, pattern = vocabulary or default_vocabulary()
-    with open(path, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    ranks, pattern = _ranks(docs, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(ranks.value, pattern)

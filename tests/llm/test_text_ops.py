@@ -619,6 +619,37 @@ def test_edited_counts(spark, counter):
     assert got[700]["n_edits"] == 3
 
 
+def test_kept_trees(spark, counter, tmp_path):
+    """Two tables of edits, one after the other, against counts of the edited texts."""
+    texts = {1: "some words and more, " * 400, 2: "untouched", 3: None, 4: "", 5: "a 日本 's", 6: "x " * 30}
+    steps = [
+        [(1, 50, 53, "new"), (1, 4000, 4000, " in between"), (3, 0, 0, "filled"), (4, 0, 0, None), (99, 0, 1, "no row"), (None, 0, 1, "?"), (2, None, 1, "?")],
+        [(1, 0, 5, ""), (5, 1, 3, "é"), *[(6, i, i + 1, "yz") for i in range(0, 60, 2)]],
+    ]
+    docs = spark.createDataFrame([*texts.items(), (None, "no id"), (2, "untouched")], "doc_id long, text string")
+    kept = token_counts.trees(docs.selectExpr("*", "1 AS chars", "2 AS _edits"))
+    assert {(r["n_tokens"], r["n_encoded"]) for r in kept.where("doc_id = 1").collect()} == {(len(counter.encoding.encode_ordinary(texts[1])), len(counter.pre_tokens(texts[1])))}
+    for k, step in enumerate(steps):
+        kept.write.parquet(f"{tmp_path}/{k}")
+        edits = spark.createDataFrame(step, "doc_id long, begin long, end long, new string").selectExpr("*", "0 AS text")
+        kept = token_counts.edited(spark.read.parquet(f"{tmp_path}/{k}"), edits)
+        usable = [e for e in step if e[0] in texts and e[1] is not None]
+        for doc_id, begin, end, new in reversed(sorted(usable, key=lambda e: e[:3])):
+            texts[doc_id] = (texts[doc_id] or "")[:begin] + (new or "") + (texts[doc_id] or "")[end:]
+        rows, touched = kept.collect(), {e[0] for e in usable}
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted([*map(str, texts), "2", "None"])
+        for r in rows:
+            want = texts.get(r["doc_id"], "no id")
+            assert r["text"] == want and r["n_tokens"] == len(counter.encoding.encode_ordinary(want or ""))
+            assert r["chars"] == [len(p) for p in counter.pre_tokens(want or "")] and sum(r["tokens"]) == r["n_tokens"]
+            assert r["doc_id"] in touched or r["n_encoded"] == 0
+            assert r["doc_id"] != 1 or 0 < r["n_encoded"] < 20
+    none = token_counts.edited(kept.limit(0), edits)
+    assert none.columns == kept.columns and none.count() == 0 and token_counts.edited(kept, edits.limit(0)).agg({"n_encoded": "sum"}).first()[0] == 0
+    with pytest.raises(ValueError):
+        token_counts.Tree.restore("abc", [1], [1], counter)
+
+
 # -- pieces ----------------------------------------------------------------------------------------
 
 
