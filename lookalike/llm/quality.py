@@ -2,7 +2,7 @@
 
 Words and word pairs are hashed into buckets, whose number grows with the corpus, so that a bucket has as
 many different n-grams in a large corpus as in a small one. Two multinomials over the buckets are
-counted: the raw corpus, from every document, and the trusted target, from labelled documents of
+counted: the raw corpus, from every document, and the trusted target, from every labelled document of
 quality 1. A document's score is its mean, over its n-grams, of log p_target - log p_raw; documents
 under the threshold are dropped. Ordinary text scores near 0 in either model and stays; text made of
 n-grams that trusted documents never have scores far below.
@@ -35,8 +35,10 @@ MAX_TABLE = 1 << 24
 PIECE = 1 << 12
 #: Steps of a weight of 1; weights lie between -127 and 127 steps.
 UNITS = 16
-#: At most so many trusted documents, those with the smallest hashes of doc_id, make the target model.
-MAX_TRUSTED = 20_000
+#: Neighbouring ids of trusted documents that share a row, a bit each.
+WORD_IDS = 64
+#: Most such rows that are broadcast; beyond, the documents are joined to them by shuffles.
+MAX_MARKS = 1 << 20
 #: Mean log ratio under which a document is dropped.
 THRESHOLD = -0.2
 #: Added to a bucket's count in the target model and to the count that the corpus model expects there, so
@@ -68,17 +70,27 @@ def hashed(docs: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """doc_id of the trusted documents, at most MAX_TRUSTED, none of the held-out fold."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED)
+    """(_word, _bits) of the trusted documents, none of the held-out fold: a bit for each doc_id, WORD_IDS neighbouring ids a row."""
+    doc_id = F.col("doc_id").cast("long")
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(doc_id, F.lit(WORD_IDS)).cast("int"))
+    return good.groupBy(F.call_function("shiftright", doc_id, F.lit(6)).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents, and ``good``, 1 for those of ``marks``, a written table of trusted(), else 0."""
+    doc_id = F.col("doc_id").cast("long")
+    few = marks.count() <= MAX_MARKS
+    # null ids are in no word; by their texts they don't meet in one task
+    word = F.coalesce(F.call_function("shiftright", doc_id, F.lit(6)), F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", word.alias("_word")).join(F.broadcast(marks) if few else marks, "_word", "left")
+    return rows.select("doc_id", "text", F.coalesce(F.getbit("_bits", F.pmod(doc_id, F.lit(WORD_IDS)).cast("int")), F.lit(0)).cast("long").alias("good"))
 
 
 def bucket_counts(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """(bucket, raw, good) of each bucket that occurs: its n-grams in all and in trusted documents."""
-    # trusted() has at most MAX_TRUSTED rows of one long, so it may be broadcast
-    marks = F.broadcast(trusted(labels).withColumn("_good", F.lit(1)))
-    grams = hashed(docs, "doc_id").join(marks, "doc_id", "left")
-    grams = grams.select(F.col("_good").isNotNull().cast("long").alias("good"), F.explode(F.concat("h", pairs(F.col("h")))).alias("gram")).select("good", bucket(F.col("gram"), n).alias("bucket"))
+    grams = hashed(marked(docs, cut(trusted(labels))), "good")
+    grams = grams.select("good", F.explode(F.concat("h", pairs(F.col("h")))).alias("gram")).select("good", bucket(F.col("gram"), n).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
 
 

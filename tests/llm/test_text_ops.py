@@ -208,6 +208,24 @@ def test_llr_equals_brute_force(spark):
     assert close[0] == close[1] and len({x for _, x in want}) > 30
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """More than the 20,000 that the target model once took, and ids at the ends of long, by either join."""
+    from pyspark.sql import functions as F
+
+    ids = [*range(-70, 70), -(2**63), 1 - 2**63, 2**63 - 1, 2**63 - 64]
+    far = spark.createDataFrame([(i, f"far {i}") for i in [*ids, 5, None, None]], "doc_id long, text string")
+    docs = spark.range(1000, 27_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text")).unionByName(far)
+    chosen = [i for i in ids if i % 3] + list(range(1000, 27_000))
+    marks = labels(spark, [(i, 1, 0) for i in [*chosen, chosen[0]]] + [(i, 0, 0) for i in ids if i % 3 == 0] + [(3, None, None), (None, 1, 1)])
+    learned = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    # a text of one word has one n-gram, one of two words three
+    want = sum(learned(i) for i in range(1000, 27_000)) + 3 * sum(i % 3 != 0 and learned(i) for i in [*ids, 5])
+    for most in (quality.MAX_MARKS, 0):
+        monkeypatch.setattr(quality, "MAX_MARKS", most)
+        total = quality.bucket_counts(docs, marks, 1 << 17).agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
+        assert want > 20_000 and total["good"] == want and total["raw"] == 26_000 + 3 * len([*ids, 5, None, None])
+
+
 def test_buckets_grow_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEAST_BUCKETS", 1 << 10)
 
