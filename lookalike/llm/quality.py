@@ -12,7 +12,9 @@ Labels of the held-out fold (crc32 of doc_id modulo 5 is 0) are never used, so t
 Only DataFrame functions run. Weights are rounded to 1 / UNITS. Up to MAX_TABLE buckets they are one array of
 bytes, a scalar subquery inside the sum over the n-grams of a row, so no row carries it and a document is scored
 where it is read; beyond, no task holds all weights, and each document's counts of buckets are
-joined to the weights by bucket. Counts over the corpus are partial sums by bucket.
+joined to the weights by bucket. Counts over the corpus are partial sums by bucket. As buckets grow with the
+corpus, few n-grams of a task share one, so the sums' shuffle is several times the text in a large corpus; it
+is made in up to ROUNDS rounds of documents, whose shuffle files never lie on disk together.
 
 Defined results: null or empty texts have no words, so all measures are 0 and base_failed is true; a
 text with fewer than five words has no window; with no trusted label all weights are 0, and the base
@@ -22,15 +24,20 @@ trusted document; an empty table gives an empty result; further columns don't ma
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, row_id, words
+from ..plans.stage_table import discard
+from .common import clean_cut, cut, held_out, row_id, words
 
 #: Buckets are a power of two, at least LEAST_BUCKETS, with at most BUCKET_BYTES bytes of text for each.
 LEAST_BUCKETS, BUCKET_BYTES = 1 << 17, 512
 #: Most buckets whose weights, a byte each, are sent to every task as one array.
 MAX_TABLE = 1 << 24
+#: N-grams are shuffled in rounds of documents, one for each ROUND_BYTES of text, at most ROUNDS.
+ROUNDS, ROUND_BYTES = 8, 1 << 26
 #: Buckets of one piece of that array while it is put together.
 PIECE = 1 << 12
 #: Steps of a weight of 1; weights lie between -127 and 127 steps.
@@ -54,10 +61,26 @@ def pairs(hashes: Column) -> Column:
 
 
 def n_buckets(docs: DataFrame) -> int:
-    size, n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, LEAST_BUCKETS
+    return extent(docs)[0]
+
+
+def extent(docs: DataFrame) -> tuple[int, int, int]:
+    """Buckets, rounds, and tasks of a round."""
+    found = docs.select(F.octet_length("text").alias("size"), F.spark_partition_id().alias("part")).agg(F.sum("size").alias("size"), F.max("part").alias("last")).first()
+    size, n = found["size"] or 0, LEAST_BUCKETS
     while n * BUCKET_BYTES < size:
         n *= 2
-    return n
+    rounds = max(1, min(ROUNDS, -(-size // ROUND_BYTES)))
+    return n, rounds, -(-((found["last"] or 0) + 1) // rounds)
+
+
+def dealt(docs: DataFrame, rounds: int, tasks: int) -> list[DataFrame]:
+    """The documents in so many parts, each row in one. A part has fewer tasks, not smaller ones, so that as many
+    n-grams meet in a task as if all were read at once."""
+    if rounds == 1:
+        return [docs]
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    return [docs.where(part == i).coalesce(tasks) for i in range(rounds)]
 
 
 def bucket(gram: Column, n: int) -> Column:
@@ -87,16 +110,23 @@ def marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce(F.getbit("_bits", F.pmod(doc_id, F.lit(WORD_IDS)).cast("int")), F.lit(0)).cast("long").alias("good"))
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """(bucket, raw, good) of each bucket that occurs: its n-grams in all and in trusted documents."""
-    grams = hashed(marked(docs, cut(trusted(labels))), "good")
-    grams = grams.select("good", F.explode(F.concat("h", pairs(F.col("h")))).alias("gram")).select("good", bucket(F.col("gram"), n).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
+def bucket_counts(docs: DataFrame, labels: DataFrame, n: int, rounds: int = 1, tasks: int = 1) -> DataFrame:
+    """(bucket, raw, good) of each bucket that occurs: its n-grams in all and in trusted documents. Each round
+    adds its documents to the table of the rounds before, and its shuffle files go before the next."""
+    marks, counts = cut(trusted(labels)), None
+    for part in dealt(docs, rounds, tasks):
+        grams = hashed(marked(part, marks), "good").select("good", F.explode(F.concat("h", pairs(F.col("h")))).alias("gram"))
+        grams = grams.select(bucket(F.col("gram"), n).alias("bucket"), F.lit(1).cast("long").alias("raw"), "good")
+        before = counts
+        counts = clean_cut((grams if before is None else grams.unionAll(before)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")))
+        if before is not None:
+            discard(before)
+    return counts
 
 
-def weights(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame, n: int, rounds: int = 1, tasks: int = 1) -> DataFrame:
     """(bucket, w) of each bucket that occurs: its log ratio in steps of 1 / UNITS."""
-    counts = cut(bucket_counts(docs, labels, n))
+    counts = bucket_counts(docs, labels, n, rounds, tasks)
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
     n_raw, n_good = total["raw"] or 0, total["good"] or 0
     expected = F.col("raw") * (n_good / max(n_raw, 1))
@@ -117,8 +147,12 @@ def llr(grams: Column, weights_: Column, n: int) -> Column:
     return F.when(F.size(grams) > 0, total / (UNITS * F.size(grams))).otherwise(0.0)
 
 
-def joined_llr(docs: DataFrame, weights_: DataFrame, n: int) -> DataFrame:
+def joined_llr(docs: DataFrame, weights_: DataFrame, n: int, rounds: int = 1, tasks: int = 1) -> DataFrame:
     """(_k, llr) of every document with a word; equal rows add the same n-grams, which leaves the mean."""
+    return reduce(DataFrame.unionAll, [clean_cut(part_llr(part, weights_, n)) for part in dealt(docs, rounds, tasks)])
+
+
+def part_llr(docs: DataFrame, weights_: DataFrame, n: int) -> DataFrame:
     grams = hashed(docs, row_id("doc_id", "text").alias("_k")).select("_k", F.explode(F.concat("h", pairs(F.col("h")))).alias("gram")).select("_k", bucket(F.col("gram"), n).alias("bucket"))
     grams = grams.groupBy("_k", "bucket").agg(F.count("*").alias("n"))
     return grams.join(weights_, "bucket").groupBy("_k").agg((F.sum(F.col("n") * F.col("w")) / (UNITS * F.sum("n"))).alias("llr"))
@@ -158,8 +192,8 @@ def n_dup_lines(text: Column) -> Column:
 
 def measures(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept)."""
-    n = n_buckets(docs)
-    by_bucket = weights(docs, labels, n)
+    n, rounds, tasks = extent(docs)
+    by_bucket = weights(docs, labels, n, rounds, tasks)
     small = n <= MAX_TABLE
     symbols = F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long")
     rows = docs.select("doc_id", symbols.alias("n_symbols"), n_dup_lines(F.col("text")).alias("n_dup_lines"), words("text").alias("w"), *([] if small else [row_id("doc_id", "text").alias("_k")]))
@@ -177,6 +211,6 @@ def measures(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     rows = rows.select(*columns, "word_chars", once(F.col("h"), lambda h: once(pairs(h), lambda p: measured(h, p))).alias("_m")).select(*columns, "word_chars", "_m.*")
     if not small:
-        rows = rows.join(joined_llr(docs, by_bucket, n), "_k", "left").withColumn("llr", F.coalesce("llr", F.lit(0.0)))
+        rows = rows.join(joined_llr(docs, by_bucket, n, rounds, tasks), "_k", "left").withColumn("llr", F.coalesce("llr", F.lit(0.0)))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))

@@ -250,6 +250,29 @@ def test_joined_weights_equal_the_array(spark, monkeypatch):
     assert tidy(got) == tidy(want) and any(r["llr"] for r in got)
 
 
+def test_rounds_give_the_same_and_leave_no_shuffle_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs, n = frame(spark).repartition(6, F.length("text")), 1 << 17
+    once = quality.bucket_counts(docs, labels(spark), n)
+    want = quality.measures(docs, labels(spark)).select("doc_id", "llr", "kept").collect()
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(manager.getAllFiles().apply(i).length() for i in range(manager.getAllFiles().size()) if manager.getAllFiles().apply(i).getName().startswith("shuffle_"))
+    monkeypatch.setattr(quality, "ROUND_BYTES", 1 << 14)
+    n_, rounds, tasks = quality.extent(docs)
+    parts = quality.dealt(docs, rounds, tasks)
+    assert n_ == n and rounds == 8 and sum(p.count() for p in parts) == docs.count() and sum(p.count() > 5 for p in parts) > 5
+    marks, before = labels(spark), files()
+    got = quality.bucket_counts(docs, marks, n, rounds, tasks)
+    # only the few bits of the trusted documents may stay
+    assert files() <= before + 10_000
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, once.collect()))
+    for most in (quality.MAX_TABLE, 0):
+        monkeypatch.setattr(quality, "MAX_TABLE", most)
+        again = quality.measures(docs, labels(spark)).select("doc_id", "llr", "kept").collect()
+        assert sorted(key((r[0], round(r[1], 9) + 0.0, r[2])) for r in again) == sorted(key((r[0], round(r[1], 9) + 0.0, r[2])) for r in want)
+
+
 # -- near duplicates -------------------------------------------------------------------------------
 
 
